@@ -58,27 +58,33 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _scan(size: int, bits: int):
-    """Rows of documents (kind 0: row id, n, two hashes of the set) and, per task, counts of shingles by bucket (kind 1)."""
+    """Rows of documents (row id, n, two hashes of the set) and, per task, packed counts of shingles by bucket, in blocks."""
+    names = ["doc_id", "n", "a", "b", "packed"]
 
     def run(batches):
-        known, counts = _Words(), np.zeros(1 << bits, np.int64)
+        known, counts = _Words(), np.zeros(1 << bits, np.int32)
         for batch in batches:
             ids, out = batch.column("doc_id"), ([], [], [])
             for text in texts(batch, "text"):
                 s = shingles(text, size, known)
                 np.add.at(counts, (s >> _U(64 - bits)).astype(np.int64), 1)
                 out[0].append(len(s))
-                out[1].append(int(_signed(np.add.reduce(mix64(s + _U(1)), dtype=np.uint64).reshape(1))[0]))
-                out[2].append(int(_signed(np.bitwise_xor.reduce(mix64(s ^ _U(0x5851F42D4C957F2D)), initial=_U(0)).reshape(1))[0]) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), ids, *(pa.array(x, pa.int64()) for x in out)], ["kind", "doc_id", "n", "a", "b"])
-        some = np.flatnonzero(counts)
-        for i in range(0, len(some), 100_000):
-            part = some[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(part), *(pa.array(x) for x in (counts[part], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)))], ["kind", "doc_id", "n", "a", "b"])
+                one, two = _signature(s)
+                out[1].append(one)
+                out[2].append(two)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out), pa.nulls(len(ids), pa.binary())], names)
+        for i in range(0, len(counts), 8192):
+            if (part := counts[i : i + 8192]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // 8192]), *[pa.array([0])] * 3, pa.array([part.tobytes()])], names)
 
     return run
 
 
+def _summed(group: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x, np.int32) for x in group["packed"].to_pylist()], axis=0, dtype=np.int64)
+    return pa.table({"doc_id": group["doc_id"].slice(0, 1), "packed": [total.tobytes()]})
+
+
 def _signature(s: np.ndarray) -> tuple[int, int]:
     a = np.add.reduce(mix64(s + _U(1)), dtype=np.uint64)
     b = np.bitwise_xor.reduce(mix64(s ^ _U(0x5851F42D4C957F2D)), initial=_U(0))
@@ -191,28 +197,31 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = written(docs.mapInArrow(_scan(size, bits), "kind int, doc_id long, n long, a long, b long"))
-    rows = scan.where("kind = 0").drop("kind")
+    scan = written(docs.mapInArrow(_scan(size, bits), "doc_id long, n long, a long, b long, packed binary"))
+    rows = scan.where("packed is null").drop("packed")
     counts = np.zeros(1 << bits, np.int64)
-    # At most 2**bits rows, whatever the input.
-    for r in scan.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r[0]] = r[1]
+    # 2**bits numbers in all, whatever the input.
+    for r in scan.where("packed is not null").groupBy("doc_id").applyInArrow(_summed, "doc_id long, packed binary").toLocalIterator():
+        counts[r[0] * 8192 : r[0] * 8192 + 8192] = np.frombuffer(r[1], np.int64)
     mean = max(1.0, float(counts.mean()))
     spread = np.floor(np.log2(np.maximum(counts - mean, 1) / (4 * math.sqrt(mean) + 4)))
     heats = spark.sparkContext.broadcast(np.clip(spread + 1, 0, 60).astype(np.uint8))
 
     keys = ["n", "a", "b"]
     pre = docs.mapInArrow(_prefixes(size, bits, percent, heats), "token long, n long, a long, b long, hot long").groupBy("token", *keys).agg(F.max("hot").alias("hot"))
-    at = Window.partitionBy("token")
-    # A set's id: a hash of its two hashes and size.
+    # A set's id: a hash of its two hashes and size. Sets of sizes too far apart can't link: buckets break where sizes do.
     sid = F.xxhash64(*keys)
+    by_size = Window.partitionBy("token").orderBy("n", "a", "b")
+    apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
+    pre = pre.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    at = Window.partitionBy("token", "run")
     shared = pre.withColumn("id", sid).withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
-    shared = written(shared.where("of > 1").select("token", "id", *keys, F.col("most.id").alias("hub"), "of"))
+    shared = written(shared.where("of > 1").select(F.xxhash64("token", "run").alias("token"), "id", *keys, F.col("most.id").alias("hub"), "of"))
 
     small = shared.select("id", *keys).distinct()
     chosen = rows.join(small, keys).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     need = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "a long, b long, s array<long>")
-    sets = written(need.withColumn("id", F.xxhash64(F.size("s").cast("long"), "a", "b")).dropDuplicates(["id"]).select("id", "s"))
+    sets = written(need.withColumn("id", F.xxhash64(F.size("s").cast("long"), "a", "b")).select("id", "s"))
     check = _verifier(bits, percent, orders, heats)
 
     def verified(work: DataFrame) -> DataFrame:
