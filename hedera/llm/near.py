@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,17 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def _order(tokens: np.ndarray, heat: np.ndarray, which: int) -> np.ndarray:
-    """Positions of tokens in a global order: cold ones before hot ones, and within that by a hash that differs by order."""
+def _order(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int) -> np.ndarray:
+    """Positions of tokens in a global order: rare ones before common ones, and within that by a hash that differs by order.
+
+    The first order goes by fine classes of counts; the others by coarse ones, which put only very common tokens last.
+    """
+    heat = heats[min(which, 1)][(tokens >> _U(64 - bits)).astype(np.int64)]
     return np.lexsort((mix64(tokens ^ _U(0xA5A5A5A5 * (which + 1))), heat))
 
 
-def _prefix(tokens: np.ndarray, heat: np.ndarray, which: int, percent: int) -> np.ndarray:
-    return tokens[_order(tokens, heat, which)[: len(tokens) - needed(len(tokens), percent) + 1]]
+def _prefix(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int, percent: int) -> np.ndarray:
+    return tokens[_order(tokens, heats, bits, which)[: len(tokens) - needed(len(tokens), percent) + 1]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -75,13 +79,13 @@ def _scan(size: int, bits: int):
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out), pa.nulls(len(ids), pa.binary())], names)
         for i in range(0, len(counts), 8192):
             if (part := counts[i : i + 8192]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // 8192]), *[pa.array([0])] * 3, pa.array([part.tobytes()])], names)
+                yield pa.RecordBatch.from_arrays([pa.array([i // 8192]), *[pa.array([0])] * 3, pa.array([zlib.compress(part.tobytes(), 1)])], names)
 
     return run
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int32) for x in group["packed"].to_pylist()], axis=0, dtype=np.int64)
+    total = np.sum([np.frombuffer(zlib.decompress(x), np.int32) for x in group["packed"].to_pylist()], axis=0, dtype=np.int64)
     return pa.table({"doc_id": group["doc_id"].slice(0, 1), "packed": [total.tobytes()]})
 
 
@@ -91,77 +95,140 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return int(np.asarray(a, np.uint64).view(np.int64)), int(np.asarray(b, np.uint64).view(np.int64))
 
 
-def _prefixes(size: int, bits: int, percent: int, heats):
-    """A row for each prefix token under the first order: token, set (n, a, b), and how hot the set's tokens are on average."""
+def _prefixes(size: int, bits: int, percent: int, orders: int, shared):
+    """A row for each prefix token under the first order: token, set (n, a, b), and how common the set's tokens are on
+    average; and a row for each set (token is null) with its prefixes under the other orders, as 32-bit hashes."""
+    names = ["token", "n", "a", "b", "hot", "other"]
 
     def run(batches):
-        known, heat = _Words(), heats.value
+        known, heats = _Words(), shared.value
         for batch in batches:
-            tokens, rows, sets = [], [], []
+            tokens, rows, sets, others = [], [], [], []
             for text in texts(batch, "text"):
                 s = shingles(text, size, known)
                 if len(s):
-                    h = heat[(s >> _U(64 - bits)).astype(np.int64)]
-                    p = _prefix(s, h, 0, percent)
+                    p = _prefix(s, heats, bits, 0, percent)
                     tokens.append(p)
                     rows.append(len(p))
-                    sets.append((len(s), *_signature(s), int(h.mean() * 1000)))
+                    sets.append((len(s), *_signature(s), int(heats[0][(s >> _U(64 - bits)).astype(np.int64)].mean() * 100)))
+                    more = [np.unique((_prefix(s, heats, bits, j, percent) >> _U(32)).astype(np.uint32)).view(np.int32) for j in range(1, orders)]
+                    others.append(np.concatenate([x for m in more for x in (np.array([len(m)], np.int32), m)]) if more else np.empty(0, np.int32))
             if sets:
                 cols = np.array(sets, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols)], ["token", "n", "a", "b", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols), pa.nulls(sum(rows), pa.list_(pa.int32()))], names)
+                ends = np.r_[0, np.cumsum([len(x) for x in others])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int64()), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))], names)
 
     return run
 
 
-def _sets(size: int):
-    """The set of each text, with its two hashes."""
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    column = column.combine_chunks()
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    return np.split(pc.list_flatten(column).to_numpy(), ends[:-1]) if len(ends) else []
 
-    def run(batches):
-        known = _Words()
-        for batch in batches:
-            sets = [shingles(t, size, known) for t in texts(batch, "text")]
-            keys = [_signature(s) for s in sets]
-            values = pa.array(_signed(np.concatenate(sets))) if sets else pa.array([], pa.int64())
-            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(offsets, values)], ["a", "b", "s"])
+
+def _pairs(block: pa.Table, percent: int):
+    """(left row, right rows) of a block: right sets in other components, of sizes that a link allows, smallest first."""
+    left, comp, ids, n = (block[c].to_numpy(zero_copy_only=False) for c in ("is_left", "comp", "id", "n"))
+    right = np.flatnonzero(~left)
+    right = right[np.argsort(n[right], kind="stable")]
+    for i in np.flatnonzero(left):
+        lo, hi = np.searchsorted(n[right], needed(int(n[i]), percent)), np.searchsorted(n[right], int(n[i]) * 100 // percent, side="right")
+        some = right[lo:hi]
+        yield i, some[(comp[some] != comp[i]) & (ids[some] != ids[i])]
+
+
+def _survivors(percent: int):
+    """Sets of a block that share a prefix token with another of it under every other order: (blk, id)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, parts = block["id"].to_numpy(), []
+        for x in _lists(block["other"]):
+            own = []
+            while len(x):
+                own.append(frozenset(x[1 : 1 + x[0]].tolist()))
+                x = x[1 + x[0] :]
+            parts.append(own)
+        alive = set()
+        for i, right in _pairs(block, percent):
+            for j in right.tolist():
+                if not (i in alive and j in alive) and not any(map(frozenset.isdisjoint, parts[i], parts[j])):
+                    alive |= {i, j}
+        alive = sorted(alive)
+        return pa.table({"blk": block["blk"].take(pa.array(alive, pa.int64())), "id": pa.array(ids[np.array(alive, np.int64)], pa.int64())})
 
     return run
 
 
-def _verifier(bits: int, percent: int, orders: int, heats):
+def _verifier(percent: int):
     """Links between the left and the right sets of a block that are in different components so far."""
 
     def run(block: pa.Table) -> pa.Table:
-        heat = heats.value
-        flat = pc.list_flatten(block["s"].combine_chunks()).to_numpy().view(np.uint64)
-        ends = np.cumsum(pc.list_value_length(block["s"]).to_numpy())
-        sets = np.split(flat, ends[:-1]) if len(ends) else []
-        left, comp = block["is_left"].to_numpy(zero_copy_only=False), block["comp"].to_numpy()
-        ids = block["id"].to_numpy()
-        prefixes = []
-        for s in sets:
-            h = heat[(s >> _U(64 - bits)).astype(np.int64)]
-            prefixes.append([set(_prefix(s, h, j, percent).tolist()) for j in range(1, orders)])
-        # Once a left set has linked to a component of the right, more links to that component tell nothing new.
-        found, right = [], np.flatnonzero(~left)
-        right = right[np.argsort([len(sets[i]) for i in right], kind="stable")]
-        sizes = np.array([len(sets[i]) for i in right])
-        for i in np.flatnonzero(left):
-            n, done = len(sets[i]), {comp[i]}
-            lo, hi = np.searchsorted(sizes, needed(n, percent)), np.searchsorted(sizes, n * 100 // percent, side="right")
-            for j in right[lo:hi]:
-                if comp[j] in done or ids[i] == ids[j] or any(x.isdisjoint(y) for x, y in zip(prefixes[i], prefixes[j], strict=True)):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n + len(sets[j]) - both):
-                    found.append((ids[i], ids[j]))
-                    done.add(comp[j])
+        sets, ids, comp = _lists(block["s"]), block["id"].to_numpy(), block["comp"].to_numpy()
+        found = []
+        for i, right in _pairs(block, percent):
+            n, done = len(sets[i]), set()
+            for j in right.tolist():
+                # Once a left set has linked to a component of the right, more links to that component tell nothing new.
+                if comp[j] not in done:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n + len(sets[j]) - both):
+                        found.append((ids[i], ids[j]))
+                        done.add(comp[j])
         u, v = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
         return pa.table({"u": u, "v": v})
 
     return run
 
 
+#: Bits of the map by which documents whose sets are needed are found without a shuffle of texts: 2 MB, whatever the input.
+_MAP = 24
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.view(np.uint64)) >> _U(64 - _MAP)).astype(np.int64)
+
+
+def _mapped(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that some doc_id has."""
+
+    def run(batches):
+        bits = np.zeros(1 << _MAP, bool)
+        for batch in batches:
+            bits[_slots(batch.column("doc_id").to_numpy())] = True
+        packed = np.packbits(bits).reshape(-1, 1 << 15)
+        for i in np.flatnonzero(packed.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([packed[i].tobytes()])], ["at", "bits"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        one = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()])
+        return pa.table({"at": group["at"].slice(0, 1), "bits": [one.tobytes()]})
+
+    out = np.zeros((1 << _MAP) >> 3, np.uint8)
+    schema = "at long, bits binary"
+    for r in ids.where("doc_id is not null").select("doc_id").mapInArrow(run, schema).groupBy("at").applyInArrow(merged, schema).toLocalIterator():
+        out[r["at"] << 15 : (r["at"] + 1) << 15] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _sets(size: int, wanted):
+    """Sets of the documents whose slot is marked (and of those without an id), with their size and hashes."""
+
+    def run(batches):
+        known, bits = _Words(), np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            take = np.flatnonzero(bits[_slots(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False))
+            for i in range(0, len(take), 500):
+                sets = [shingles(t, size, known) for t in texts(batch.take(pa.array(take[i : i + 500])), "text")]
+                keys = [(len(s), *_signature(s)) for s in sets]
+                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in range(3)), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets))))], ["n", "a", "b", "s"])
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every end of links (u, v): comp is the smallest id reachable. Labels move to the smallest neighbour and jump to their label's label until none changes."""
     edges = written(links.select("u", "v").union(links.select("v", "u")).distinct())
@@ -179,7 +246,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 20, block: int = 256) -> DataFrame:
+def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 22, block: int = 256) -> DataFrame:
     """A row per document: doc_id, n_shingles (size of its set of distinct word shingles), component_id (the smallest doc_id that links reach).
 
     docs: doc_id and text; other columns are ignored. Two documents link when 100 * intersection >= percent * union. Texts
@@ -188,12 +255,13 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     with it and without partners has a null component. An empty table gives an empty result.
 
     Documents with equal sets are one from the start: their rows meet only in counts and minima. For other pairs, sets link
-    only if their prefixes share a token under every global order; the first order's prefixes deal sets into buckets, the
-    others are tested for each pair before the sets are compared. Orders put hot tokens last (by counts of all shingles in
-    2**bits buckets, of fixed size whatever the input; a bucket's collisions change the speed, never the result). In each
-    bucket one set, the one with the hottest tokens, is first compared with the others; that joins groups of copies without
-    pairs. What is still apart in a bucket is compared in blocks: the sets outside the bucket's largest component against
-    all. So no link between different components is lost and no list of all pairs is made.
+    only if their prefixes share a token under every global order. The first order, rarest first, deals sets into buckets;
+    buckets break where set sizes are too far apart. The other orders are tested for each pair of a bucket, on short lists,
+    before whole sets are fetched and compared. Orders go by counts of all shingles in 2**bits buckets, of fixed size
+    whatever the input; collisions change the speed, never the result. In each bucket one set, the one with the most common
+    tokens, is first compared with the others; that joins groups of copies without pairs. What is still apart in a bucket is
+    compared in blocks: the sets outside the bucket's largest component against all. So no link between different
+    components is lost and no list of all pairs is made.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -204,11 +272,13 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     for r in scan.where("packed is not null").groupBy("doc_id").applyInArrow(_summed, "doc_id long, packed binary").toLocalIterator():
         counts[r[0] * 8192 : r[0] * 8192 + 8192] = np.frombuffer(r[1], np.int64)
     mean = max(1.0, float(counts.mean()))
-    spread = np.floor(np.log2(np.maximum(counts - mean, 1) / (4 * math.sqrt(mean) + 4)))
-    heats = spark.sparkContext.broadcast(np.clip(spread + 1, 0, 60).astype(np.uint8))
+    fine = np.clip(np.rint(24 * np.log2((counts + 1) / (mean + 1)) + 128), 0, 255)
+    coarse = np.clip(np.floor(np.log2(np.maximum(counts / (4 * mean + 16), 0.5))) + 1, 0, 255)
+    heats = spark.sparkContext.broadcast(np.stack([fine, coarse]).astype(np.uint8))
 
     keys = ["n", "a", "b"]
-    pre = docs.mapInArrow(_prefixes(size, bits, percent, heats), "token long, n long, a long, b long, hot long").groupBy("token", *keys).agg(F.max("hot").alias("hot"))
+    both = written(docs.mapInArrow(_prefixes(size, bits, percent, orders, heats), "token long, n long, a long, b long, hot long, other array<int>"))
+    pre = both.where("token is not null").groupBy("token", *keys).agg(F.max("hot").alias("hot"))
     # A set's id: a hash of its two hashes and size. Sets of sizes too far apart can't link: buckets break where sizes do.
     sid = F.xxhash64(*keys)
     by_size = Window.partitionBy("token").orderBy("n", "a", "b")
@@ -218,25 +288,28 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     shared = pre.withColumn("id", sid).withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
     shared = written(shared.where("of > 1").select(F.xxhash64("token", "run").alias("token"), "id", *keys, F.col("most.id").alias("hub"), "of"))
 
-    small = shared.select("id", *keys).distinct()
-    chosen = rows.join(small, keys).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    need = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "a long, b long, s array<long>")
-    sets = written(need.withColumn("id", F.xxhash64(F.size("s").cast("long"), "a", "b")).select("id", "s"))
-    check = _verifier(bits, percent, orders, heats)
+    in_buckets = shared.select("id").distinct()
+    others = written(both.where("token is null").withColumn("id", sid).join(in_buckets, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("other").alias("other")))
+    firsts = rows.where("n > 0").withColumn("id", sid)
 
     def verified(work: DataFrame) -> DataFrame:
-        """work: blk (a block's key), id, is_left, comp."""
-        full = work.join(sets, "id")
-        return full.groupBy("blk").applyInArrow(check, "u long, v long")
+        """Links of the blocks in work: blk, id, is_left, comp."""
+        work = written(work)
+        alive = written(work.join(others, "id").groupBy("blk").applyInArrow(_survivors(percent), "blk long, id long").distinct())
+        some = firsts.join(alive.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+        wanted = spark.sparkContext.broadcast(_mapped(some))
+        sets = written(docs.mapInArrow(_sets(size, wanted), "n long, a long, b long, s array<long>").withColumn("id", sid))
+        full = work.join(alive, ["blk", "id"], "left_semi").join(sets.select("id", "n", "s"), "id")
+        return written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
 
     pairs = shared.where("id <> hub").select("id", "hub").distinct()
-    pairs = written(pairs.withColumn("blk", F.struct(F.col("hub").alias("x"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("y"))))
+    pairs = written(pairs)
     # Members of a hub go to blocks of about `block` by hash; the number of blocks follows the hub's members.
     much = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
     dealt = written(pairs.join(much, "hub").select("hub", "id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")))
     work = dealt.select("blk", "id", F.lit(False).alias("is_left"), F.col("id").alias("comp"))
     work = work.union(dealt.select("blk", F.col("hub").alias("id"), F.lit(True), F.col("hub").alias("comp")).distinct())
-    links = written(verified(work))
+    links = verified(work)
     comp = components(links)
 
     part = shared.where("of > 2").select("token", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -251,11 +324,11 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     # Buckets of one set of sets ask the same questions; one of them is enough.
     work = rights.unionByName(lefts).withColumn("blk", F.xxhash64("token", "r", "l"))
     seen = work.groupBy("blk").agg(F.sum(F.xxhash64("id", "is_left").cast("decimal(38,0)")).alias("what"), F.count(F.lit(1)).alias("rows")).groupBy("what", "rows").agg(F.min("blk").alias("blk"))
-    more = written(verified(work.join(seen.select("blk"), "blk", "left_semi").select("blk", "id", "is_left", "comp")))
+    more = verified(work.join(seen.select("blk"), "blk", "left_semi").select("blk", "id", "is_left", "comp"))
     if more.limit(1).count():
         comp = components(links.union(more))
 
-    own = rows.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("id", sid)
+    own = firsts.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("id", sid)
     own = own.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = own.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = own.join(least, "comp").select(*(F.col(k).alias(f"_{k}") for k in keys), "component_id")
