@@ -108,7 +108,7 @@ def _searcher(k: int, trees: int, leaf_rows: int, least: int, share: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 10, leaf_rows: int = 24, least: int = 600, share: float = 0.12, shard_rows: int = 65_536, shards_least: int = 16, query_block: int = 2_048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 10, leaf_rows: int = 24, least: int = 600, share: float = 0.2, shard_rows: int = 65_536, shards_least: int = 16, query_block: int = 2_048) -> DataFrame:
     """The k nearest found for each query by inner product: query_id, rank (from 1), vec_id, score; ties go to the smaller id.
 
     vectors and queries: (id, vector) by position; other columns are ignored. Rows whose id or vector is null, or whose

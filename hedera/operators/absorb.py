@@ -128,7 +128,7 @@ def absorb(df: DataFrame, terms: list[Term], columns: list[str], weight: str | N
     sums = [F.sum(w).alias("_w")] + [F.sum(w * F.col(c)).alias(f"_v{i}") for i, c in enumerate(columns)]
     if len(terms) == 1 and not slopes:
         means = df.groupBy(*keys).agg(*sums)
-        effects = [means.select(F.col(keys[0]).alias("_key"), *(F.when(F.col("_w") > 0, F.col(f"_v{i}") / F.col("_w")).otherwise(0.0).alias(f"_e{i}") for i in range(len(columns))))]
+        effects = [written(means.select(F.col(keys[0]).alias("_key"), *(F.when(F.col("_w") > 0, F.col(f"_v{i}") / F.col("_w")).otherwise(0.0).alias(f"_e{i}") for i in range(len(columns)))))]
         return Absorbed(_within(df, terms, effects, columns), effects, 1, "means")
     distinct_keys = list(dict.fromkeys(keys))
     cells = written(df.select(*distinct_keys, *slopes, w.alias("_w"), *((w * F.col(c)).alias(f"_v{i}") for i, c in enumerate(columns))) if slopes else df.groupBy(*distinct_keys).agg(*sums))
