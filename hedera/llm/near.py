@@ -53,8 +53,9 @@ def _order(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int) -> np.n
     return np.lexsort((mix64(tokens ^ _U(0xA5A5A5A5 * (which + 1))), heat))
 
 
-def _prefix(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int, percent: int) -> np.ndarray:
-    return tokens[_order(tokens, heats, bits, which)[: len(tokens) - needed(len(tokens), percent) + 1]]
+def _prefix(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int, percent: int, more: int = 1) -> np.ndarray:
+    """The first tokens in an order, so many that sets that link share `more` of them at least."""
+    return tokens[_order(tokens, heats, bits, which)[: len(tokens) - needed(len(tokens), percent) + more]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -97,7 +98,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 def _prefixes(size: int, bits: int, percent: int, orders: int, shared):
     """A row for each prefix token under the first order: token, set (n, a, b), and how common the set's tokens are on
-    average; and a row for each set (token is null) with its prefixes under the other orders, as 32-bit hashes."""
+    average; and a row for each set (token is null) with longer prefixes under the other orders: for each the length, the
+    number of distinct 32-bit hashes, and those."""
     names = ["token", "n", "a", "b", "hot", "other"]
 
     def run(batches):
@@ -111,8 +113,12 @@ def _prefixes(size: int, bits: int, percent: int, orders: int, shared):
                     tokens.append(p)
                     rows.append(len(p))
                     sets.append((len(s), *_signature(s), int(heats[0][(s >> _U(64 - bits)).astype(np.int64)].mean() * 100)))
-                    more = [np.unique((_prefix(s, heats, bits, j, percent) >> _U(32)).astype(np.uint32)).view(np.int32) for j in range(1, orders)]
-                    others.append(np.concatenate([x for m in more for x in (np.array([len(m)], np.int32), m)]) if more else np.empty(0, np.int32))
+                    parts = [np.empty(0, np.int32)]
+                    for j in range(1, orders):
+                        p = _prefix(s, heats, bits, j, percent, max(1, len(s) // 10))
+                        short = np.unique(p.astype(np.uint32)).view(np.int32)
+                        parts += [np.array([len(p), len(short)], np.int32), short]
+                    others.append(np.concatenate(parts))
             if sets:
                 cols = np.array(sets, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols), pa.nulls(sum(rows), pa.list_(pa.int32()))], names)
@@ -140,20 +146,27 @@ def _pairs(block: pa.Table, percent: int):
 
 
 def _survivors(percent: int):
-    """Sets of a block that share a prefix token with another of it under every other order: (blk, id)."""
+    """Sets of a block that share enough of their prefixes with another of it under every other order: (blk, id).
+
+    Sets of sizes n and m that link have a = ceil(percent * (n + m) / (100 + percent)) tokens in common; at most n - a tokens of
+    the first are not among them, so prefixes of n - a + k and m - a + k tokens share k at least.
+    """
 
     def run(block: pa.Table) -> pa.Table:
-        ids, parts = block["id"].to_numpy(), []
-        for x in _lists(block["other"]):
+        ids, size, parts = block["id"].to_numpy(), block["n"].to_pylist(), []
+        for x, n in zip(_lists(block["other"]), size, strict=True):
             own = []
             while len(x):
-                own.append(frozenset(x[1 : 1 + x[0]].tolist()))
-                x = x[1 + x[0] :]
+                own.append((int(x[0]) - n, int(x[0] - x[1]), frozenset(x[2 : 2 + x[1]].tolist())))
+                x = x[2 + x[1] :]
             parts.append(own)
         alive = set()
         for i, right in _pairs(block, percent):
             for j in right.tolist():
-                if not (i in alive and j in alive) and not any(map(frozenset.isdisjoint, parts[i], parts[j])):
+                if i in alive and j in alive:
+                    continue
+                common = -(-percent * (size[i] + size[j]) // (100 + percent))
+                if all(len(s & t) >= min(p, q) + common - d - e for (p, d, s), (q, e, t) in zip(parts[i], parts[j], strict=True)):
                     alive |= {i, j}
         alive = sorted(alive)
         return pa.table({"blk": block["blk"].take(pa.array(alive, pa.int64())), "id": pa.array(ids[np.array(alive, np.int64)], pa.int64())})
@@ -255,7 +268,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     with it and without partners has a null component. An empty table gives an empty result.
 
     Documents with equal sets are one from the start: their rows meet only in counts and minima. For other pairs, sets link
-    only if their prefixes share a token under every global order. The first order, rarest first, deals sets into buckets;
+    only if their prefixes share tokens under every global order. The first order, rarest first, deals sets into buckets;
     buckets break where set sizes are too far apart. The other orders are tested for each pair of a bucket, on short lists,
     before whole sets are fetched and compared. Orders go by counts of all shingles in 2**bits buckets, of fixed size
     whatever the input; collisions change the speed, never the result. In each bucket one set, the one with the most common
