@@ -10,7 +10,7 @@ from .common import table, written
 
 def normal(line: Column) -> Column:
     """A line as it is compared: trimmed of ASCII white space, A-Z and other letters in lower case."""
-    return F.lower(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    return F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,9 +52,12 @@ def line_deduped(docs: DataFrame, least_sites: int = 5, deviation: float = 0.1,
 
     total = several.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * hot_share > max(total, 1)
-    out = lines.join(F.broadcast(spread.where(hot)), key)
-    cold = lines.join(F.broadcast(spread.where(hot).select(*key)), key, "left_anti").join(spread.where(~hot), key)
-    gone = out.unionByName(cold).where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
+    known = lines.join(F.broadcast(spread.where(hot).select(*key, F.col("first").alias("hot"))), key, "left")
+    # A hot line's rows need no second join: they get a key of their own each, which no cold line has.
+    known = known.withColumn("k", F.when(F.col("hot").isNull(), F.col("line")).otherwise(F.xxhash64("doc", "pos"))).withColumn("k2", F.when(F.col("hot").isNull(), F.col("line2")))
+    cold = spread.where(~hot).select(F.col("line").alias("k"), F.col("line2").alias("k2"), "first")
+    gone = known.join(cold, ["k", "k2"], "left").select("doc", "pos", F.coalesce("hot", "first").alias("first")).where("first is not null")
+    gone = gone.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
 
     kept = docs.withColumn("_doc", F.xxhash64("doc_id", "source", "text")).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
