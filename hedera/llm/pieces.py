@@ -243,19 +243,26 @@ class Encoder:
         self.flat = np.concatenate(flat)
         self.starts = np.r_[0, np.cumsum(np.concatenate(counts))]
 
-    def encode(self, texts: list[str | None], most_kept: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and the number of ids of each."""
+    def units(self, text: str | None) -> list[str]:
+        return self.unit.findall((SPACE if self.v.prefix else "") + text.replace(" ", SPACE)) if text else []
+
+    def prepare(self, texts, most_kept: int = 300_000) -> None:
+        """Encodes the units of texts that aren't kept yet, all at once: the more there are, the longer the vectors."""
         if len(self.kept) > most_kept:
             self.kept, self.flat, self.starts = {}, np.empty(0, np.int32), np.zeros(1, np.int64)
+        new: set[str] = set()
+        for t in texts:
+            new.update(self.units(t))
+        self._learn(sorted(new.difference(self.kept)))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each."""
         units, sizes = [], []
         for t in texts:
-            if t:
-                got = self.unit.findall((SPACE if self.v.prefix else "") + t.replace(" ", SPACE))
-                units += got
-                sizes.append(len(got))
-            else:
-                sizes.append(0)
-        if new := [u for u in set(units) if u not in self.kept]:
+            got = self.units(t)
+            units += got
+            sizes.append(len(got))
+        if new := set(units).difference(self.kept):
             self._learn(sorted(new))
         u = np.fromiter(map(self.kept.__getitem__, units), np.int64, len(units))
         counts = self.starts[u + 1] - self.starts[u]
@@ -287,6 +294,7 @@ def _encode(shared, keep: list[str], column: str, rows: int):
     def run(batches):
         e = _encoder(shared.value)
         for batch in batches:
+            e.prepare(t.as_py() for t in batch.column(column))
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
                 ids, counts = e.encode(part.column(column).to_pylist())
