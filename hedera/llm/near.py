@@ -134,15 +134,31 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(pc.list_flatten(column).to_numpy(), ends[:-1]) if len(ends) else []
 
 
-def _pairs(block: pa.Table, percent: int):
-    """(left row, right rows) of a block: right sets in other components, of sizes that a link allows, smallest first."""
-    left, comp, ids, n = (block[c].to_numpy(zero_copy_only=False) for c in ("is_left", "comp", "id", "n"))
-    right = np.flatnonzero(~left)
-    right = right[np.argsort(n[right], kind="stable")]
-    for i in np.flatnonzero(left):
-        lo, hi = np.searchsorted(n[right], needed(int(n[i]), percent)), np.searchsorted(n[right], int(n[i]) * 100 // percent, side="right")
-        some = right[lo:hi]
-        yield i, some[(comp[some] != comp[i]) & (ids[some] != ids[i])]
+def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """How many tokens each left list shares with each right list, as products of 0-1 matrices over the tokens that two lists have."""
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, place, counts = np.unique(np.concatenate(lists) if lists else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    often = counts[place] > 1
+    rows, place = rows[often], number[place[often]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(place, kind="stable")
+    rows, place = rows[order], place[order]
+    for start in range(0, int((counts > 1).sum()), columns):
+        lo, hi = np.searchsorted(place, [start, start + columns])
+        m = np.zeros((len(lists), columns), np.float32)
+        m[rows[lo:hi], place[lo:hi] - start] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _open(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right rows of a block, which pairs of them a link may join (other components, sizes that allow it), and sizes."""
+    is_left, comp, ids, n = (block[c].to_numpy(zero_copy_only=False) for c in ("is_left", "comp", "id", "n"))
+    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    a, b = n[left][:, None], n[right][None, :]
+    may = (comp[left][:, None] != comp[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
+    return left, right, may & (100 * b >= percent * a) & (100 * a >= percent * b), n
 
 
 def _survivors(percent: int):
@@ -153,44 +169,32 @@ def _survivors(percent: int):
     """
 
     def run(block: pa.Table) -> pa.Table:
-        ids, size, parts = block["id"].to_numpy(), block["n"].to_pylist(), []
-        for x, n in zip(_lists(block["other"]), size, strict=True):
-            own = []
-            while len(x):
-                own.append((int(x[0]) - n, int(x[0] - x[1]), frozenset(x[2 : 2 + x[1]].tolist())))
-                x = x[2 + x[1] :]
-            parts.append(own)
-        alive = set()
-        for i, right in _pairs(block, percent):
-            for j in right.tolist():
-                if i in alive and j in alive:
-                    continue
-                common = -(-percent * (size[i] + size[j]) // (100 + percent))
-                if all(len(s & t) >= min(p, q) + common - d - e for (p, d, s), (q, e, t) in zip(parts[i], parts[j], strict=True)):
-                    alive |= {i, j}
-        alive = sorted(alive)
-        return pa.table({"blk": block["blk"].take(pa.array(alive, pa.int64())), "id": pa.array(ids[np.array(alive, np.int64)], pa.int64())})
+        ids = block["id"].to_numpy()
+        left, right, may, n = _open(block, percent)
+        rest = _lists(block["other"])
+        need = -(-percent * (n[left][:, None] + n[right][None, :]) // (100 + percent))
+        while may.any() and any(len(x) for x in rest):
+            size, kept = (np.array([x[i] if len(x) else 0 for x in rest], np.int64) for i in (0, 1))
+            over, lost = size - n, size - kept
+            least = np.minimum(over[left][:, None], over[right][None, :]) + need - lost[left][:, None] - lost[right][None, :]
+            may &= _common([x[2 : 2 + k] for x, k in zip(rest, kept, strict=True)], left, right) >= least
+            rest = [x[2 + k :] for x, k in zip(rest, kept, strict=True)]
+        alive = np.union1d(left[may.any(axis=1)], right[may.any(axis=0)]).astype(np.int64)
+        return pa.table({"blk": block["blk"].take(pa.array(alive)), "id": pa.array(ids[alive], pa.int64())})
 
     return run
 
 
 def _verifier(percent: int):
-    """Links between the left and the right sets of a block that are in different components so far."""
+    """Links between the left and the right sets of a block that are in different components so far: one for each left set and right component."""
 
     def run(block: pa.Table) -> pa.Table:
-        sets, ids, comp = _lists(block["s"]), block["id"].to_numpy(), block["comp"].to_numpy()
-        found = []
-        for i, right in _pairs(block, percent):
-            n, done = len(sets[i]), set()
-            for j in right.tolist():
-                # Once a left set has linked to a component of the right, more links to that component tell nothing new.
-                if comp[j] not in done:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (n + len(sets[j]) - both):
-                        found.append((ids[i], ids[j]))
-                        done.add(comp[j])
-        u, v = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pa.table({"u": u, "v": v})
+        ids, comp = block["id"].to_numpy(), block["comp"].to_numpy()
+        left, right, may, n = _open(block, percent)
+        both = _common(_lists(block["s"]), left, right).astype(np.int64) if may.any() else np.zeros(may.shape, np.int64)
+        i, j = np.nonzero(may & (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)))
+        _, first = np.unique(np.stack([i, comp[right][j]]), axis=1, return_index=True) if len(i) else (None, np.empty(0, np.int64))
+        return pa.table({"u": pa.array(ids[left][i[first]], pa.int64()), "v": pa.array(ids[right][j[first]], pa.int64())})
 
     return run
 
