@@ -99,29 +99,33 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 def _prefixes(size: int, bits: int, percent: int, orders: int, shared):
     """A row for each prefix token under the first order: token, set (n, a, b), and how common the set's tokens are on
     average; and a row for each set (token is null) with longer prefixes under the other orders: for each the length, the
-    number of distinct 32-bit hashes, and those."""
+    number of distinct 16-bit hashes (both in two halves), and those. Sets that a task has just seen aren't repeated."""
     names = ["token", "n", "a", "b", "hot", "other"]
 
     def run(batches):
-        known, heats = _Words(), shared.value
+        known, heats, seen = _Words(), shared.value, set()
         for batch in batches:
             tokens, rows, sets, others = [], [], [], []
             for text in texts(batch, "text"):
                 s = shingles(text, size, known)
-                if len(s):
+                key = (len(s), *_signature(s))
+                if len(s) and key not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
                     p = _prefix(s, heats, bits, 0, percent)
                     tokens.append(p)
                     rows.append(len(p))
-                    sets.append((len(s), *_signature(s), int(heats[0][(s >> _U(64 - bits)).astype(np.int64)].mean() * 100)))
-                    parts = [np.empty(0, np.int32)]
+                    sets.append((*key, int(heats[0][(s >> _U(64 - bits)).astype(np.int64)].mean() * 100)))
+                    parts = [np.empty(0, np.int16)]
                     for j in range(1, orders):
                         p = _prefix(s, heats, bits, j, percent, max(1, len(s) // 10))
-                        short = np.unique(p.astype(np.uint32)).view(np.int32)
-                        parts += [np.array([len(p), len(short)], np.int32), short]
+                        short = np.unique(p.astype(np.uint16)).view(np.int16)
+                        parts += [np.array([len(p), len(short)], np.int32).view(np.int16), short]
                     others.append(np.concatenate(parts))
             if sets:
                 cols = np.array(sets, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols), pa.nulls(sum(rows), pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols), pa.nulls(sum(rows), pa.list_(pa.int16()))], names)
                 ends = np.r_[0, np.cumsum([len(x) for x in others])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int64()), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))], names)
 
@@ -161,26 +165,49 @@ def _open(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return left, right, may & (100 * b >= percent * a) & (100 * a >= percent * b), n
 
 
+def _parts(may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each left and right row of a block the part it is in (rows that pairs in `may` connect), and -1 outside of pairs."""
+    left = np.where(may.any(axis=1), np.arange(len(may)), -1)
+    none = len(may)
+    while True:
+        right = np.where(may, left[:, None], none).min(axis=0, initial=none)
+        new = np.where(may, right[None, :], none).min(axis=1, initial=none)
+        new[left < 0] = -1
+        if (new == left).all():
+            return left, np.where(right == none, -1, right)
+        left = new
+
+
 def _survivors(percent: int):
-    """Sets of a block that share enough of their prefixes with another of it under every other order: (blk, id).
+    """Sets of a block that share enough of their prefixes with another of it under every other order, as smaller blocks: each
+    part of the block that such pairs connect is one, (blk, id, is_left, comp), and blk is a hash of what it holds. Parts of
+    several blocks with the same sets are thus the same rows, and are compared once. (Sides swap so that the smaller hash is left.)
 
     Sets of sizes n and m that link have a = ceil(percent * (n + m) / (100 + percent)) tokens in common; at most n - a tokens of
     the first are not among them, so prefixes of n - a + k and m - a + k tokens share k at least.
     """
 
     def run(block: pa.Table) -> pa.Table:
-        ids = block["id"].to_numpy()
+        ids, comp = block["id"].to_numpy(), block["comp"].to_numpy()
         left, right, may, n = _open(block, percent)
         rest = _lists(block["other"])
         need = -(-percent * (n[left][:, None] + n[right][None, :]) // (100 + percent))
         while may.any() and any(len(x) for x in rest):
-            size, kept = (np.array([x[i] if len(x) else 0 for x in rest], np.int64) for i in (0, 1))
+            size, kept = np.array([x[:4].copy().view(np.int32) if len(x) else (0, 0) for x in rest], np.int64).T
             over, lost = size - n, size - kept
             least = np.minimum(over[left][:, None], over[right][None, :]) + need - lost[left][:, None] - lost[right][None, :]
-            may &= _common([x[2 : 2 + k] for x, k in zip(rest, kept, strict=True)], left, right) >= least
-            rest = [x[2 + k :] for x, k in zip(rest, kept, strict=True)]
-        alive = np.union1d(left[may.any(axis=1)], right[may.any(axis=0)]).astype(np.int64)
-        return pa.table({"blk": block["blk"].take(pa.array(alive)), "id": pa.array(ids[alive], pa.int64())})
+            may &= _common([x[4 : 4 + k] for x, k in zip(rest, kept, strict=True)], left, right) >= least
+            rest = [x[4 + k :] for x, k in zip(rest, kept, strict=True)]
+        of_left, of_right = _parts(may)
+        rows = np.concatenate([left[of_left >= 0], right[of_right >= 0]]).astype(np.int64)
+        part = np.concatenate([of_left[of_left >= 0], of_right[of_right >= 0]])
+        is_left = np.arange(len(rows)) < (of_left >= 0).sum()
+        hashes = np.zeros((2, len(left)), np.uint64)
+        np.add.at(hashes, ((~is_left).astype(np.int64), part), mix64(ids[rows].view(np.uint64) + _U(1)))
+        swap = hashes[1] < hashes[0]
+        blk = mix64(hashes.min(axis=0) + mix64(hashes.max(axis=0))) if len(left) else np.empty(0, np.uint64)
+        cols = [pa.array(_signed(blk[part])), pa.array(ids[rows], pa.int64()), pa.array(is_left ^ swap[part]), pa.array(comp[rows], pa.int64())]
+        return pa.table(cols, ["blk", "id", "is_left", "comp"])
 
     return run
 
@@ -233,15 +260,20 @@ def _sets(size: int, wanted):
     """Sets of the documents whose slot is marked (and of those without an id), with their size and hashes."""
 
     def run(batches):
-        known, bits = _Words(), np.unpackbits(wanted.value).astype(bool)
+        known, bits, seen = _Words(), np.unpackbits(wanted.value).astype(bool), set()
         for batch in batches:
             ids = batch.column("doc_id")
             take = np.flatnonzero(bits[_slots(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False))
             for i in range(0, len(take), 500):
                 sets = [shingles(t, size, known) for t in texts(batch.take(pa.array(take[i : i + 500])), "text")]
-                keys = [(len(s), *_signature(s)) for s in sets]
+                new = {(len(s), *_signature(s)): s for s in sets}
+                keys = [k for k in new if k not in seen]
+                sets = [new[k] for k in keys]
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.update(keys)
                 offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in range(3)), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate(sets))))], ["n", "a", "b", "s"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in range(3)), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *sets]))))], ["n", "a", "b", "s"])
 
     return run
 
@@ -294,29 +326,32 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     heats = spark.sparkContext.broadcast(np.stack([fine, coarse]).astype(np.uint8))
 
     keys = ["n", "a", "b"]
-    both = written(docs.mapInArrow(_prefixes(size, bits, percent, orders, heats), "token long, n long, a long, b long, hot long, other array<int>"))
-    pre = both.where("token is not null").groupBy("token", *keys).agg(F.max("hot").alias("hot"))
-    # A set's id: a hash of its two hashes and size. Sets of sizes too far apart can't link: buckets break where sizes do.
+    # A set's id: a hash of its two hashes and size.
     sid = F.xxhash64(*keys)
-    by_size = Window.partitionBy("token").orderBy("n", "a", "b")
+    both = docs.mapInArrow(_prefixes(size, bits, percent, orders, heats), "token long, n long, a long, b long, hot long, other array<short>")
+    both = written(both.select("token", "n", sid.alias("id"), "hot", "other"))
+    # Tasks have left repeated sets out, so one shuffle by token serves what follows. Sets of sizes too far apart can't link:
+    # buckets break where sizes do.
+    pre = both.where("token is not null").select("token", "n", "id", "hot").repartition("token").groupBy("token", "n", "id").agg(F.max("hot").alias("hot"))
+    by_size = Window.partitionBy("token").orderBy("n", "id")
     apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
     pre = pre.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     at = Window.partitionBy("token", "run")
-    shared = pre.withColumn("id", sid).withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
-    shared = written(shared.where("of > 1").select(F.xxhash64("token", "run").alias("token"), "id", *keys, F.col("most.id").alias("hub"), "of"))
+    shared = pre.withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
+    shared = written(shared.where("of > 1").select(F.xxhash64("token", "run").alias("token"), "id", F.col("most.id").alias("hub"), "of"))
 
     in_buckets = shared.select("id").distinct()
-    others = written(both.where("token is null").withColumn("id", sid).join(in_buckets, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("other").alias("other")))
+    others = written(both.where("token is null").join(in_buckets, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("other").alias("other")))
     firsts = rows.where("n > 0").withColumn("id", sid)
 
     def verified(work: DataFrame) -> DataFrame:
         """Links of the blocks in work: blk, id, is_left, comp."""
         work = written(work)
-        alive = written(work.join(others, "id").groupBy("blk").applyInArrow(_survivors(percent), "blk long, id long").distinct())
+        alive = written(work.join(others, "id").groupBy("blk").applyInArrow(_survivors(percent), "blk long, id long, is_left boolean, comp long").distinct())
         some = firsts.join(alive.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         wanted = spark.sparkContext.broadcast(_mapped(some))
         sets = written(docs.mapInArrow(_sets(size, wanted), "n long, a long, b long, s array<long>").withColumn("id", sid))
-        full = work.join(alive, ["blk", "id"], "left_semi").join(sets.select("id", "n", "s"), "id")
+        full = alive.join(sets.select("id", "n", "s"), "id")
         return written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
 
     pairs = shared.where("id <> hub").select("id", "hub").distinct()
