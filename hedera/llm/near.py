@@ -157,9 +157,9 @@ def _common(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, column
 
 
 def _open(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Left and right rows of a block, which pairs of them a link may join (other components, sizes that allow it), and sizes."""
-    is_left, comp, ids, n = (block[c].to_numpy(zero_copy_only=False) for c in ("is_left", "comp", "id", "n"))
-    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    """Left and right rows of a block (both, where is_left is null), which pairs of them a link may join (other components, sizes that allow it), and sizes."""
+    comp, ids, n = (block[c].to_numpy(zero_copy_only=False) for c in ("comp", "id", "n"))
+    left, right = (np.flatnonzero(block["is_left"].fill_null(side).to_numpy(zero_copy_only=False) == side) for side in (True, False))
     a, b = n[left][:, None], n[right][None, :]
     may = (comp[left][:, None] != comp[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
     return left, right, may & (100 * b >= percent * a) & (100 * a >= percent * b), n
@@ -295,6 +295,17 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _merged(parts: DataFrame, most: int) -> DataFrame:
+    """Blocks (blk, id, is_left, comp) that share sets, directly or over others, as one block without sides if it has at most
+    `most` sets: each of them is then fetched once, not once a block. Larger ones stay as they are."""
+    first = parts.groupBy("blk").agg(F.min("id").alias("u"))
+    group = components(parts.join(first, "blk").select("u", F.col("id").alias("v")).where("u <> v")).withColumnRenamed("comp", "group")
+    small = group.groupBy("group").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") <= most)
+    dealt = written(parts.join(group.join(small, "group"), "id", "left"))
+    one = dealt.where("held is not null").select(F.xxhash64("group").alias("blk"), "id", F.lit(None).cast("boolean").alias("is_left"), "comp").distinct()
+    return one.union(dealt.where("held is null").select("blk", "id", "is_left", "comp"))
+
+
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 22, block: int = 256) -> DataFrame:
     """A row per document: doc_id, n_shingles (size of its set of distinct word shingles), component_id (the smallest doc_id that links reach).
 
@@ -344,14 +355,14 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     others = written(both.where("token is null").join(in_buckets, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("other").alias("other")))
     firsts = rows.where("n > 0").withColumn("id", sid)
 
-    def verified(work: DataFrame) -> DataFrame:
-        """Links of the blocks in work: blk, id, is_left, comp."""
+    def verified(work: DataFrame, merge: bool) -> DataFrame:
+        """Links of the blocks in work: blk, id, is_left, comp. What is left of them is merged where blocks share sets."""
         work = written(work)
         alive = written(work.join(others, "id").groupBy("blk").applyInArrow(_survivors(percent), "blk long, id long, is_left boolean, comp long").distinct())
         some = firsts.join(alive.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         wanted = spark.sparkContext.broadcast(_mapped(some))
         sets = written(docs.mapInArrow(_sets(size, wanted), "n long, a long, b long, s array<long>").withColumn("id", sid))
-        full = alive.join(sets.select("id", "n", "s"), "id")
+        full = (_merged(alive, block) if merge else alive).join(sets.select("id", "n", "s"), "id")
         return written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
 
     pairs = shared.where("id <> hub").select("id", "hub").distinct()
@@ -361,7 +372,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     dealt = written(pairs.join(much, "hub").select("hub", "id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")))
     work = dealt.select("blk", "id", F.lit(False).alias("is_left"), F.col("id").alias("comp"))
     work = work.union(dealt.select("blk", F.col("hub").alias("id"), F.lit(True), F.col("hub").alias("comp")).distinct())
-    links = verified(work)
+    links = verified(work, False)
     comp = components(links)
 
     part = shared.where("of > 2").select("token", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -376,7 +387,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     # Buckets of one set of sets ask the same questions; one of them is enough.
     work = rights.unionByName(lefts).withColumn("blk", F.xxhash64("token", "r", "l"))
     seen = work.groupBy("blk").agg(F.sum(F.xxhash64("id", "is_left").cast("decimal(38,0)")).alias("what"), F.count(F.lit(1)).alias("rows")).groupBy("what", "rows").agg(F.min("blk").alias("blk"))
-    more = verified(work.join(seen.select("blk"), "blk", "left_semi").select("blk", "id", "is_left", "comp"))
+    more = verified(work.join(seen.select("blk"), "blk", "left_semi").select("blk", "id", "is_left", "comp"), True)
     if more.limit(1).count():
         comp = components(links.union(more))
 
