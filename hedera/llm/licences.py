@@ -65,10 +65,11 @@ def licence_places(docs: DataFrame, anchors: int = 2, coverage: float = 0.6) ->
     """(doc, template, label, base, start, score) for each place of a template; doc is a hash of (doc_id, text).
 
     One scan takes the words of every whole text and keeps the templates' words with their positions, except function words
-    and digits. From those rows come each word's document frequency over all documents, and so its IDF. Each template's `anchors` words of highest IDF are looked up; a
-    word at position p that is word i of a template says that it may start at p - i. Starts that all anchors agree on are
-    candidates; there the other words are intersected by relative position, and a place counts if every indexed word of the
-    mandatory key phrase is at its position and at least `coverage` of the template's words are.
+    and digits. From those rows come each word's document frequency over all documents, and so its IDF. The `anchors` words of
+    highest IDF of each key phrase are looked up; a word at position p that is word i of a template says that it may start at
+    p - i. Starts that all anchors agree on are candidates; there the other words are intersected by relative position, and a
+    place counts if every indexed word of the mandatory key phrase is at its position and at least `coverage` of the
+    template's words are. Words outside the key phrase count for score and coverage only.
     """
     spark = docs.sparkSession
     index = _index()
@@ -86,15 +87,17 @@ def licence_places(docs: DataFrame, anchors: int = 2, coverage: float = 0.6) ->
     for t in {r[0] for r in index}:
         own = [r for r in index if r[0] == t]
         known = [r for r in own if r[3] in set(rare)]
-        top = sorted(known, key=lambda r: (-idf.get(r[3], 99.0), r[4]))[:anchors] if not own[0][2] else known
+        phrase = [r for r in known if r[6] <= r[4] < r[6] + r[7]]
+        top = sorted(phrase, key=lambda r: (-idf.get(r[3], -1.0), r[4]))[:anchors] if not own[0][2] else known
         mask = sum(1 << r[4] for r in known)
-        key = sum(1 << r[4] for r in known if r[6] <= r[4] < r[6] + r[7])
+        key = sum(1 << r[4] for r in phrase)
         need = sum(1 << r[4] for r in top)
         posts += [(r[0], r[1], r[2], r[3], r[4], 1 << r[4], need, key, len(known), mask) for r in known]
     post = spark.createDataFrame(posts, "template int, label string, base boolean, word string, at int, bit long, need long, key long, known int, mask long")
     # The index has a row for each word of each template: some hundred rows, whatever the input.
     at = hits.join(F.broadcast(post), "word").select("doc", "template", "label", "base", "need", "key", "known", (F.col("pos") - F.col("at")).alias("start"), "bit")
-    places = at.where("start >= 0").groupBy("doc", "template", "label", "base", "need", "key", "known", "start").agg(F.bit_or("bit").alias("got"))
+    # A place may start before its text: the words ahead of the key phrase aren't mandatory.
+    places = at.groupBy("doc", "template", "label", "base", "need", "key", "known", "start").agg(F.bit_or("bit").alias("got"))
     hold = lambda m: F.col("got").bitwiseAND(F.col(m)) == F.col(m)
     score = F.bit_count("got") / F.col("known")
     return places.where(hold("need") & hold("key") & (score >= coverage)).select("doc", "template", "label", "base", "start", score.alias("score"))

@@ -122,6 +122,17 @@ def test_licences(spark):
     assert licences.licences(df.limit(0)).count() == 0
 
 
+def test_licences_key_phrase_alone(spark):
+    rows = [
+        (1, "All rights reserved.", "proprietary"), (2, "Some words. ALL RIGHTS RESERVED", "proprietary"), (3, "see the Mozilla Public License", "mpl"), (4, "a BSD license", "bsd"), (5, "GNU Lesser General Public License", "gpl,lgpl"),
+        (6, "Affero General Public License", "agpl,gpl"), (7, "rights all reserved", ""), (8, "Eclipse Public License", "epl"), (9, "copyright all rights", ""),
+    ]
+    # 9 has the word of the template that is outside the key phrase; without it no document does.
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, want string"), spark.createDataFrame(rows[:8], "doc_id long, text string, want string")):
+        got = {r.doc_id: r.labels for r in licences.licences(df).collect()}
+        assert got == {r.doc_id: r.want for r in df.collect()}
+
+
 # -------------------------------------------------------------------------------------------------------------- chat
 
 
