@@ -178,6 +178,13 @@ def test_lm_base(spark, frequent):
     assert lm.scored(held.limit(0)).count() == 0
 
 
+def test_lm_frequent_words_change_nothing(spark):
+    rows = [(i, sentence(__import__("random").Random(i % 7), 40) + f" own{i % 5} twice{i} twice{i}", i % 6 == 0) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    every, few = ({r.doc_id: r.score for r in lm.scored(df, frequent_most=most).collect()} for most in (1 << 17, 5))
+    assert every.keys() == few.keys() and all(math.isclose(every[k], few[k], rel_tol=1e-9) for k in every)
+
+
 def test_lm_bits_are_probabilities():
     """Over all words of one byte from a small alphabet and their continuations, probabilities sum to at most one."""
     m = lm.Model(14, np.zeros(lm.ORDERS << 14, np.float32), np.zeros(lm.ORDERS << 14, np.float32))
