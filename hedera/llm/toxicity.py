@@ -17,10 +17,12 @@ from .common import table, written
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
 
 _LETTER = r"[^\W\d_]"
-#: Where a text may be disguised: signs or digits inside, before or after letters; letters three times or more; spelled-out words.
-_SIGNS = re.compile(rf"{_LETTER}[0-9@$!+*]{{1,2}}(?={_LETTER})|(?<!\S)[0-9@$!+]{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[0-9@$*]{{1,2}}(?!\S)")
-_REPEATS = re.compile(rf"{_LETTER}*({_LETTER})\1\1+{_LETTER}*")
-_SPELLED = re.compile(rf"(?<![\w'])(?:{_LETTER}[ .\-_*]){{2,}}{_LETTER}(?![\w'])")
+#: A character of a spelled-out word, once or repeated; SEP stands between two of them.
+_UNIT, _SEP = r"([^\W\d_]|[0-9@$!+])", r"[ .\-_*]+"
+#: Where a text may be disguised: signs or digits inside, before or after letters; letters twice or more; words spelled out in letters, signs and digits.
+_SIGNS = re.compile(rf"{_LETTER}[0-9@$!+*]+(?={_LETTER})|(?<!\S)[0-9@$!+]+{_LETTER}{{2}}|{_LETTER}(?:{_LETTER}[0-9@$*]+|[@$*]{{2,}})(?=[.,;:!?)\"']*(?!\S))")
+_REPEATS = re.compile(rf"{_LETTER}*({_LETTER})\1+{_LETTER}*")
+_SPELLED = re.compile(rf"(?<![\w'@$!+])(?:{_UNIT}\1*{_SEP}){{2,}}{_UNIT}\2*(?![\w'@$+])")
 _WORDS = re.compile(rf"{_LETTER}+")
 
 
@@ -127,7 +129,8 @@ class Restorer:
                 done = end
             text = "".join([*out, text[done:]])
         text = _REPEATS.sub(lambda m: self.span(m[0]), text)
-        return _SPELLED.sub(lambda m: self.span(m[0]), text)
+        # Of numbers and signs alone, or with a single letter, no word is made.
+        return _SPELLED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
 
 
 def _trigrams(batches):

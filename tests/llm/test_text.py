@@ -268,6 +268,13 @@ def test_restored(model):
         assert model.restore(text).rstrip("!") == want
 
 
+def test_restored_combined(model):
+    for text, want in {"1 d 1 0 t": "idiot", "s.t.u.p.1.d": "stupid", "m0000ron": "moron", "idiiot": "idiot", "s  t  u  p  i  d": "stupid", "s tt u p 1 d": "stupid", "iiid111ooot": "idiot", "you m 0 r 0 n": "you moron", "$ t u p 1 d": "stupid"}.items():
+        assert model.restore(text) == want
+    for text in ("1 2 3 4", "1.2.3", "10 - 2 - 3"):
+        assert model.restore(text) == text
+
+
 def test_scores(spark, model):
     rng = __import__("random").Random(9)
     df = awkward(spark, [(100, sentence(rng, 50), "en", "s", 1), (101, sentence(rng, 50) + " 1d10t st0pid m o r o n", "en", "s", 1), (102, sentence(rng, 20) + " idiot stupid " + sentence(rng, 20), "en", "s", 1)]).withColumnRenamed("n_chars", "score")
