@@ -133,16 +133,24 @@ class Restorer:
         return _SPELLED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
 
 
+def _grams(words: Counter) -> pa.RecordBatch:
+    c: Counter = Counter()
+    for w, n in words.items():
+        w = f"  {w} "
+        for i in range(len(w) - 2):
+            c[w[i : i + 3]] += n
+    return pa.RecordBatch.from_pydict({"gram": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+
+
 def _trigrams(batches):
+    words: Counter = Counter()
     for batch in batches:
-        c: Counter = Counter()
         for text in batch.column("text").to_pylist():
-            words = Counter(_WORDS.findall((text or "").lower()))
-            for w, n in words.items():
-                w = f"  {w} "
-                for i in range(len(w) - 2):
-                    c[w[i : i + 3]] += n
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+            words.update(_WORDS.findall((text or "").lower()))
+            if len(words) > 200_000:
+                yield _grams(words)
+                words.clear()
+    yield _grams(words)
 
 
 def stems(text: str, least: int = 3, most: int = 9) -> set[str]:
@@ -239,7 +247,8 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams: int = 200_000, most_stems: int = 2_000, most_candidates: int = 100_000) -> Classifier:
     """A classifier of texts from docs (doc_id, text) and labels (doc_id, toxic); only texts and labels are used.
 
-    most_rows bounds the labelled rows it learns from: those first by a hash of doc_id. Rows without a label or with a null
+    The character model counts the trigrams of all docs and keeps the most_grams most frequent ones. most_rows bounds the
+    labelled rows that stems and weights are learned from: those first by a hash of doc_id. Rows without a label or with a null
     doc_id are not used; of several labels for a doc_id the largest counts. A stem (the beginning of a word) enters the
     lexicon if it is in toxic texts far more often than chance allows for so many stems, and is left out where a shorter
     one does the same work.
@@ -251,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
     rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
     n_all = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n_all.get(1, 0), sum(n for k, n in n_all.items() if k != 1)
-    grams = rows.mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most_grams)
+    grams = docs.select("text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most_grams)
     chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
     if not n_toxic or not n_clean:

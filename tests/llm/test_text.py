@@ -283,6 +283,12 @@ def test_scores(spark, model):
     assert toxicity.scored(df.limit(0), model).count() == 0
 
 
+def test_characters_of_all_documents(spark):
+    docs = spark.createDataFrame([(1, "kaba"), (2, "loden"), (3, "quux quux"), (None, "quux")], "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert m.chars.three["quu"] == 3 and m.chars.three["kab"] == 1
+
+
 def test_nothing_to_learn(spark):
     df = awkward(spark)
     m = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
