@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
     counts = rows.mapInArrow(_stem_counts(model, None), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"))
     counts = written(counts)
     tested = counts.where("t > 2").count()
-    some = counts.where(F.col("t") >= max(4, 0.005 * n_toxic)).orderBy(F.desc("t"), "stem").limit(most_candidates)
+    some = counts.where(F.col("t") >= 4).orderBy(F.desc("t"), "stem").limit(most_candidates)
     wanted = spark.sparkContext.broadcast({r["stem"] for r in some.select("stem").collect()})
     found = rows.mapInArrow(_stem_counts(model, wanted), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
 

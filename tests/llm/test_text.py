@@ -289,6 +289,13 @@ def test_characters_of_all_documents(spark):
     assert m.chars.three["quu"] == 3 and m.chars.three["kab"] == 1
 
 
+def test_seldom_stems_are_tested(spark):
+    """A word of 9 in 2,000 toxic texts and no clean one is far beyond chance."""
+    docs = spark.createDataFrame([(i, "kaba loden" + (" zofgrim" if i < 9 else "")) for i in range(4000)], "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame([(i, int(i < 2000)) for i in range(4000)], "doc_id long, toxic int"))
+    assert any("zofgrim".startswith(s.strip()) for s in m.lexicon.odds)
+
+
 def test_nothing_to_learn(spark):
     df = awkward(spark)
     m = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
