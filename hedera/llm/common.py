@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,18 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def slices(batches, name: str, most: int = 2 << 20):
+    """Batches cut so that each has at most `most` bytes in a string column, or one row."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(size, dtype=np.int64), 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, ends[start] - size[start] + most, side="right"))
+            stop = max(start + 1, stop)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

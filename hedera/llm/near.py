@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, lowered_words, mix64, table, texts, written
+from .common import dropped, lowered_words, mix64, slices, table, texts, written
 
 _U = np.uint64
 
@@ -20,118 +22,265 @@ class _Words(dict):
     """64-bit hashes of words, kept until there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
 
 
-def shingles(text: bytes | None, size: int, known: _Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words than size is one shingle, an empty one none."""
-    words = lowered_words(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(size, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = mix64(total * _U(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
-    return np.unique(total)
+def sets_of(found: list[bytes | None], size: int, known: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles, one text after the other, and where each text's begin and end.
 
-
-def needed(n: int, percent: int) -> int:
+    A text of fewer words than size is one shingle, an empty one none.
+    """
+    words = [lowered_words(t) for t in found]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    h = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(count.sum()))
+    width = np.minimum(count, size)
+    made = np.where(count > 0, count - width + 1, 0)
+    of = np.repeat(np.arange(len(words)), made)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(made) - made, made) + np.repeat(np.cumsum(count) - count, made)
+    total = width[of].astype(np.uint64)
+    short = (width < size)[of]
+    for i in range(size):
+        longer = mix64(total * _U(0x9E3779B97F4A7C15) + h[np.minimum(place + i, len(h) - 1)])
+        total = np.where(short & (width[of] <= i), total, longer) if short.any() else longer
+    starts = np.r_[0, np.cumsum(made)]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        total[a:b].sort()
+    new = np.ones(len(total), bool)
+    new[1:] = (total[1:] != total[:-1]) | (of[1:] != of[:-1])
+    return total[new], np.r_[0, np.cumsum(np.bincount(of[new], minlength=len(words)))].astype(np.int64)
+
+
+def _signatures(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two hashes of each set; the first hash is the set's id."""
+    n = np.diff(ends)
+    a, b = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    some = n > 0
+    if some.any():
+        a[some] = np.add.reduceat(mix64(values + _U(1)), ends[:-1][some])
+        b[some] = np.bitwise_xor.reduceat(mix64(values ^ _U(0x5851F42D4C957F2D)), ends[:-1][some])
+    return n, a.view(np.int64), b.view(np.int64)
+
+
+def needed(n, percent: int):
     """The least intersection of a set of n with any set that it links to."""
     return -(-n * percent // 100)
 
 
-def _order(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int) -> np.ndarray:
-    """Positions of tokens in a global order: rare ones before common ones, and within that by a hash that differs by order.
+def _keys(tokens: np.ndarray, heat: np.ndarray, which: int) -> np.ndarray:
+    """By these, tokens stand in a global order: rare ones before common ones, and within that by a hash that differs by order.
 
     The first order goes by fine classes of counts; the others by coarse ones, which put only very common tokens last.
     """
-    heat = heats[min(which, 1)][(tokens >> _U(64 - bits)).astype(np.int64)]
-    return np.lexsort((mix64(tokens ^ _U(0xA5A5A5A5 * (which + 1))), heat))
+    return (heat[min(which, 1)].astype(np.uint64) << _U(56)) | (mix64(tokens ^ _U(0xA5A5A5A5 * (which + 1))) >> _U(8))
+
+
+def _least(keys: np.ndarray, k: int) -> np.ndarray:
+    return np.argpartition(keys, k - 1)[:k] if k < len(keys) else np.arange(len(keys))
 
 
-def _prefix(tokens: np.ndarray, heats: np.ndarray, bits: int, which: int, percent: int, more: int = 1) -> np.ndarray:
-    """The first tokens in an order, so many that sets that link share `more` of them at least."""
-    return tokens[_order(tokens, heats, bits, which)[: len(tokens) - needed(len(tokens), percent) + more]]
+class Heats:
+    """How common tokens are, by bucket, in classes: fine, coarse, and the logarithm of the parts into which a token's sets are dealt."""
 
+    def __init__(self, counts: np.ndarray, bits: int, quota: int):
+        mean = max(1.0, float(counts.mean()))
+        fine = np.clip(np.rint(24 * np.log2((counts + 1) / (mean + 1)) + 128), 0, 255)
+        coarse = np.clip(np.floor(np.log2(np.maximum(counts / (4 * mean + 16), 0.5))) + 1, 0, 255)
+        parts = np.ceil(np.log2(np.maximum(counts / max(quota, 8 * mean), 1)))
+        self.classes, self.bits = np.stack([fine, coarse, parts]).astype(np.uint8), bits
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.classes[:, (tokens >> _U(64 - self.bits)).astype(np.int64)]
+
+
+# ----------------------------------------------------------------------------------------------------- scans of all texts
 
 
 def _scan(size: int, bits: int):
-    """Rows of documents (row id, n, two hashes of the set) and, per task, packed counts of shingles by bucket, in blocks."""
-    names = ["doc_id", "n", "a", "b", "packed"]
+    """Rows of documents (doc_id, row, size and two hashes of the set) and, per task, packed counts of shingles by bucket, in blocks."""
+    names = ["doc_id", "row", "n", "id", "b", "packed"]
 
     def run(batches):
-        known, counts = _Words(), np.zeros(1 << bits, np.int32)
-        for batch in batches:
-            ids, out = batch.column("doc_id"), ([], [], [])
-            for text in texts(batch, "text"):
-                s = shingles(text, size, known)
-                np.add.at(counts, (s >> _U(64 - bits)).astype(np.int64), 1)
-                out[0].append(len(s))
-                one, two = _signature(s)
-                out[1].append(one)
-                out[2].append(two)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out), pa.nulls(len(ids), pa.binary())], names)
-        for i in range(0, len(counts), 8192):
-            if (part := counts[i : i + 8192]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // 8192]), *[pa.array([0])] * 3, pa.array([zlib.compress(part.tobytes(), 1)])], names)
+        known, counts = _Words(), np.zeros(1 << bits, np.uint32)
+        for batch in slices(batches, "text"):
+            values, ends = sets_of(texts(batch, "text"), size, known)
+            np.add.at(counts, (values >> _U(64 - bits)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *map(pa.array, _signatures(values, ends)), pa.nulls(batch.num_rows, pa.binary())], names)
+        part = TaskContext.get().partitionId() % 64
+        for i in range(0, len(counts), 65536):
+            if (block := counts[i : i + 65536]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // 65536]), pa.array([part]), *[pa.array([0])] * 3, pa.array([_packed(block)])], names)
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    kind = np.min_scalar_type(int(counts.max()))
+    return kind.char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.dtype(data[:1].decode()))
+
+
 def _summed(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(zlib.decompress(x), np.int32) for x in group["packed"].to_pylist()], axis=0, dtype=np.int64)
-    return pa.table({"doc_id": group["doc_id"].slice(0, 1), "packed": [total.tobytes()]})
+    total = np.zeros(65536, np.uint64)
+    for x in group["packed"].to_pylist():
+        total += _unpacked(x)
+    return pa.table({"doc_id": group["doc_id"].slice(0, 1), "row": group["row"].slice(0, 1), "packed": [_packed(total)]})
+
+
+class _Once:
+    """Which sets a task sees for the first time, as far as it remembers."""
 
+    def __init__(self):
+        self.seen: set = set()
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    a = np.add.reduce(mix64(s + _U(1)), dtype=np.uint64)
-    b = np.bitwise_xor.reduce(mix64(s ^ _U(0x5851F42D4C957F2D)), initial=_U(0))
-    return int(np.asarray(a, np.uint64).view(np.int64)), int(np.asarray(b, np.uint64).view(np.int64))
+    def new(self, *keys: np.ndarray) -> np.ndarray:
+        out = []
+        for i, key in enumerate(zip(*(k.tolist() for k in keys), strict=True)):
+            if key[0] and key not in self.seen:
+                if len(self.seen) > 50_000:
+                    self.seen.clear()
+                self.seen.add(key)
+                out.append(i)
+        return np.array(out, np.int64)
 
 
-def _prefixes(size: int, bits: int, percent: int, orders: int, shared):
-    """A row for each prefix token under the first order: token, set (n, a, b), and how common the set's tokens are on
-    average; and a row for each set (token is null) with longer prefixes under the other orders: for each the length, the
-    number of distinct 16-bit hashes (both in two halves), and those. Sets that a task has just seen aren't repeated."""
-    names = ["token", "n", "a", "b", "hot", "other"]
+def _prefixes(size: int, percent: int, shared):
+    """A row for each prefix token under the first order: token, salt (0, or for tokens with very many sets 1 and the part that
+    the set is dealt to), set (n, id), and how common its tokens are on average. Sets that a task has just seen aren't repeated."""
 
     def run(batches):
-        known, heats, seen = _Words(), shared.value, set()
+        known, heats, once = _Words(), shared.value, _Once()
+        for batch in slices(batches, "text"):
+            values, ends = sets_of(texts(batch, "text"), size, known)
+            n, ids, b = _signatures(values, ends)
+            heat = heats.of(values)
+            keys = _keys(values, heat, 0)
+            length = n - needed(n, percent) + 1
+            own = once.new(n, ids, b)
+            if not len(own):
+                continue
+            take = np.concatenate([ends[i] + _least(keys[ends[i] : ends[i + 1]], int(length[i])) for i in own.tolist()])
+            of = np.repeat(own, length[own])
+            total = np.r_[0, np.cumsum(heat[0], dtype=np.int64)]
+            hot = 100 * (total[ends[1:]] - total[ends[:-1]]) // np.maximum(n, 1)
+            tokens, parts = values[take], heat[2][take].astype(np.uint64)
+            salt = np.where(parts > 0, 1 + (mix64(ids[of].view(np.uint64) ^ tokens) & ((_U(1) << parts) - _U(1))), 0)
+            cols = [tokens.view(np.int64), salt.astype(np.int32), n[of].astype(np.int32), ids[of], hot[of].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["token", "salt", "n", "id", "hot"])
+
+    return run
+
+
+#: Bits of the map by which documents whose sets are needed are found without a shuffle of texts: 2 MB, whatever the input.
+_MAP = 24
+
+
+def _slots(rows: np.ndarray) -> np.ndarray:
+    return (mix64(rows.view(np.uint64)) >> _U(64 - _MAP)).astype(np.int64)
+
+
+def _mapped(rows: DataFrame) -> np.ndarray:
+    """A bit for each slot that some row has."""
+
+    def run(batches):
+        bits = np.zeros(1 << _MAP, bool)
         for batch in batches:
-            tokens, rows, sets, others = [], [], [], []
-            for text in texts(batch, "text"):
-                s = shingles(text, size, known)
-                key = (len(s), *_signature(s))
-                if len(s) and key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen.add(key)
-                    p = _prefix(s, heats, bits, 0, percent)
-                    tokens.append(p)
-                    rows.append(len(p))
-                    sets.append((*key, int(heats[0][(s >> _U(64 - bits)).astype(np.int64)].mean() * 100)))
-                    parts = [np.empty(0, np.int16)]
-                    for j in range(1, orders):
-                        p = _prefix(s, heats, bits, j, percent, max(1, len(s) // 10))
-                        short = np.unique(p.astype(np.uint16)).view(np.int16)
-                        parts += [np.array([len(p), len(short)], np.int32).view(np.int16), short]
-                    others.append(np.concatenate(parts))
-            if sets:
-                cols = np.array(sets, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.repeat(c, rows)) for c in cols), pa.nulls(sum(rows), pa.list_(pa.int16()))], names)
-                ends = np.r_[0, np.cumsum([len(x) for x in others])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(sets), pa.int64()), *map(pa.array, cols), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))], names)
+            bits[_slots(batch.column("row").to_numpy())] = True
+        packed = np.packbits(bits).reshape(-1, 1 << 15)
+        for i in np.flatnonzero(packed.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(packed[i].tobytes(), 1)])], ["at", "bits"])
+
+    def merged(group: pa.Table) -> pa.Table:
+        one = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in group["bits"].to_pylist()])
+        return pa.table({"at": group["at"].slice(0, 1), "bits": [zlib.compress(one.tobytes(), 1)]})
+
+    out = np.zeros((1 << _MAP) >> 3, np.uint8)
+    schema = "at long, bits binary"
+    for r in rows.select("row").mapInArrow(run, schema).groupBy("at").applyInArrow(merged, schema).toLocalIterator():
+        out[r["at"] << 15 : (r["at"] + 1) << 15] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
+def _wanted(batches, size: int, marked):
+    """(values, ends, sizes, ids) of new sets of the documents whose slot is marked."""
+    known, bits, once = _Words(), marked.value, _Once()
+    for batch in slices(batches, "text"):
+        at = _slots(batch.column("row").to_numpy())
+        take = np.flatnonzero((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+        if len(take):
+            values, ends = sets_of(texts(batch.take(pa.array(take)), "text"), size, known)
+            n, ids, b = _signatures(values, ends)
+            own = once.new(n, ids, b)
+            if len(own):
+                parts = [values[ends[i] : ends[i + 1]] for i in own.tolist()]
+                yield parts, n[own], ids[own]
+
+
+def _sets(size: int, marked):
+    def run(batches):
+        for parts, n, ids in _wanted(batches, size, marked):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(parts).view(np.int64)))], ["id", "n", "s"])
+
+    return run
+
+
+# ---------------------------------------------------------------------------------------------------------------- sketches
+
+
+def _lengths(n, percent: int):
+    """Under the orders but the first, prefixes are longer, so that sets that link share several tokens of them."""
+    return np.minimum(n, n - needed(n, percent) + np.maximum(1, n // 10))
+
+
+def _width(n):
+    """A power of two of at least n, and of at least 64."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def parity(tokens: np.ndarray, width: int) -> np.ndarray:
+    """For each class of tokens modulo width whether it has an odd number of them, as bits.
+
+    Two sets' bits differ in at most as many places as there are tokens in one set only, and mostly in nearly as many.
+    """
+    odd = np.bincount((tokens & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _sketches(size: int, percent: int, orders: int, shared, marked):
+    """For each wanted set the parities of its prefix under every order but the first, and those of the whole set."""
+
+    def run(batches):
+        heats = shared.value
+        for parts, n, ids in _wanted(batches, size, marked):
+            out = []
+            for s in parts:
+                heat, k = heats.of(s), int(_lengths(len(s), percent))
+                some = [parity(s[_least(_keys(s, heat, j), k)], int(_width(4 * k))) for j in range(1, orders)]
+                out.append(np.concatenate([*some, parity(s, int(_width(2 * len(s))))]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(out, pa.binary())], ["id", "n", "sketch"])
 
     return run
 
 
+def _differences(bits: list[np.ndarray], left: np.ndarray, right: np.ndarray, may: np.ndarray, chunk: int = 1 << 19) -> np.ndarray:
+    """In how many places the bits of left and right rows differ, for pairs in `may`; longer bits are folded to the length of shorter ones."""
+    words = np.array([len(x) for x in bits], np.int64)
+    out = np.zeros(may.shape, np.int64)
+    common = np.minimum(words[left][:, None], words[right][None, :])
+    for w in np.unique(common[may]).tolist():
+        folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) if len(x) >= w else np.zeros(w, np.uint64) for x in bits])
+        i, j = np.nonzero(may & (common == w))
+        for k in range(0, len(i), max(1, chunk // w)):
+            a, b = i[k : k + max(1, chunk // w)], j[k : k + max(1, chunk // w)]
+            out[a, b] = np.bitwise_count(folded[left[a]] ^ folded[right[b]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     column = column.combine_chunks()
     ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
@@ -178,26 +327,38 @@ def _parts(may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left = new
 
 
-def _survivors(percent: int):
-    """Sets of a block that share enough of their prefixes with another of it under every other order, as smaller blocks: each
-    part of the block that such pairs connect is one, (blk, id, is_left, comp), and blk is a hash of what it holds. Parts of
-    several blocks with the same sets are thus the same rows, and are compared once. (Sides swap so that the smaller hash is left.)
+def possible(n: np.ndarray, sketches: list[np.ndarray], left: np.ndarray, right: np.ndarray, may: np.ndarray, percent: int, orders: int) -> np.ndarray:
+    """Pairs in `may` whose prefixes may share enough tokens under every order but the first, and whose sets may differ in few enough.
 
-    Sets of sizes n and m that link have a = ceil(percent * (n + m) / (100 + percent)) tokens in common; at most n - a tokens of
-    the first are not among them, so prefixes of n - a + k and m - a + k tokens share k at least.
+    Sets of sizes n and m that link have a = ceil(percent * (n + m) / (100 + percent)) tokens in common; at most n - p tokens
+    of the first are outside of its prefix of p tokens, so prefixes of p and q share a + min(p - n, q - m) at least, and at
+    most p + q less twice that are in one prefix only. No pair that links is left out.
     """
+    p = _lengths(n, percent)
+    need = -(-percent * (n[left][:, None] + n[right][None, :]) // (100 + percent))
+    least = np.minimum((p - n)[left][:, None], (p - n)[right][None, :]) + need
+    short, whole = _width(4 * p) // 64, _width(2 * n) // 64
+    for j in range(orders):
+        if not may.any():
+            return may
+        if j < orders - 1:
+            bits, most = [s[j * k : (j + 1) * k] for s, k in zip(sketches, short.tolist(), strict=True)], p[left][:, None] + p[right][None, :] - 2 * least
+        else:
+            bits, most = [s[len(s) - k :] for s, k in zip(sketches, whole.tolist(), strict=True)], n[left][:, None] + n[right][None, :] - 2 * need
+        may = may & (_differences(bits, left, right, may) <= most)
+    return may
+
+
+def _survivors(percent: int, orders: int):
+    """Sets of a block with another of it that every filter lets pass, as smaller blocks: each part of the block that such pairs
+    connect is one, (blk, id, is_left, comp), and blk is a hash of what it holds. Parts of several blocks with the same sets
+    are thus the same rows, and are compared once. (Sides swap so that the smaller hash is left.)"""
 
     def run(block: pa.Table) -> pa.Table:
         ids, comp = block["id"].to_numpy(), block["comp"].to_numpy()
         left, right, may, n = _open(block, percent)
-        rest = _lists(block["other"])
-        need = -(-percent * (n[left][:, None] + n[right][None, :]) // (100 + percent))
-        while may.any() and any(len(x) for x in rest):
-            size, kept = np.array([x[:4].copy().view(np.int32) if len(x) else (0, 0) for x in rest], np.int64).T
-            over, lost = size - n, size - kept
-            least = np.minimum(over[left][:, None], over[right][None, :]) + need - lost[left][:, None] - lost[right][None, :]
-            may &= _common([x[4 : 4 + k] for x, k in zip(rest, kept, strict=True)], left, right) >= least
-            rest = [x[4 + k :] for x, k in zip(rest, kept, strict=True)]
+        sketches = [np.frombuffer(x, np.uint64) for x in block["sketch"].to_pylist()]
+        may = possible(n, sketches, left, right, may, percent, orders)
         of_left, of_right = _parts(may)
         rows = np.concatenate([left[of_left >= 0], right[of_right >= 0]]).astype(np.int64)
         part = np.concatenate([of_left[of_left >= 0], of_right[of_right >= 0]])
@@ -206,7 +367,7 @@ def _survivors(percent: int):
         np.add.at(hashes, ((~is_left).astype(np.int64), part), mix64(ids[rows].view(np.uint64) + _U(1)))
         swap = hashes[1] < hashes[0]
         blk = mix64(hashes.min(axis=0) + mix64(hashes.max(axis=0))) if len(left) else np.empty(0, np.uint64)
-        cols = [pa.array(_signed(blk[part])), pa.array(ids[rows], pa.int64()), pa.array(is_left ^ swap[part]), pa.array(comp[rows], pa.int64())]
+        cols = [pa.array(blk[part].view(np.int64)), pa.array(ids[rows], pa.int64()), pa.array(is_left ^ swap[part]), pa.array(comp[rows], pa.int64())]
         return pa.table(cols, ["blk", "id", "is_left", "comp"])
 
     return run
@@ -226,58 +387,6 @@ def _verifier(percent: int):
     return run
 
 
-#: Bits of the map by which documents whose sets are needed are found without a shuffle of texts: 2 MB, whatever the input.
-_MAP = 24
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.view(np.uint64)) >> _U(64 - _MAP)).astype(np.int64)
-
-
-def _mapped(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot that some doc_id has."""
-
-    def run(batches):
-        bits = np.zeros(1 << _MAP, bool)
-        for batch in batches:
-            bits[_slots(batch.column("doc_id").to_numpy())] = True
-        packed = np.packbits(bits).reshape(-1, 1 << 15)
-        for i in np.flatnonzero(packed.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([packed[i].tobytes()])], ["at", "bits"])
-
-    def merged(group: pa.Table) -> pa.Table:
-        one = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group["bits"].to_pylist()])
-        return pa.table({"at": group["at"].slice(0, 1), "bits": [one.tobytes()]})
-
-    out = np.zeros((1 << _MAP) >> 3, np.uint8)
-    schema = "at long, bits binary"
-    for r in ids.where("doc_id is not null").select("doc_id").mapInArrow(run, schema).groupBy("at").applyInArrow(merged, schema).toLocalIterator():
-        out[r["at"] << 15 : (r["at"] + 1) << 15] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def _sets(size: int, wanted):
-    """Sets of the documents whose slot is marked (and of those without an id), with their size and hashes."""
-
-    def run(batches):
-        known, bits, seen = _Words(), np.unpackbits(wanted.value).astype(bool), set()
-        for batch in batches:
-            ids = batch.column("doc_id")
-            take = np.flatnonzero(bits[_slots(ids.fill_null(0).to_numpy())] | ids.is_null().to_numpy(zero_copy_only=False))
-            for i in range(0, len(take), 500):
-                sets = [shingles(t, size, known) for t in texts(batch.take(pa.array(take[i : i + 500])), "text")]
-                new = {(len(s), *_signature(s)): s for s in sets}
-                keys = [k for k in new if k not in seen]
-                sets = [new[k] for k in keys]
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen.update(keys)
-                offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[c] for k in keys], pa.int64()) for c in range(3)), pa.ListArray.from_arrays(offsets, pa.array(_signed(np.concatenate([np.empty(0, np.uint64), *sets]))))], ["n", "a", "b", "s"])
-
-    return run
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every end of links (u, v): comp is the smallest id reachable. Labels move to the smallest neighbour and jump to their label's label until none changes."""
     edges = written(links.select("u", "v").union(links.select("v", "u")).distinct())
@@ -306,67 +415,61 @@ def _merged(parts: DataFrame, most: int) -> DataFrame:
     return one.union(dealt.where("held is null").select("blk", "id", "is_left", "comp"))
 
 
-def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 22, block: int = 256) -> DataFrame:
-    """A row per document: doc_id, n_shingles (size of its set of distinct word shingles), component_id (the smallest doc_id that links reach).
-
-    docs: doc_id and text; other columns are ignored. Two documents link when 100 * intersection >= percent * union. Texts
-    are lower-cased in A-Z and split at ASCII white space; a text of fewer words than size is one shingle; null and blank
-    texts have no shingle and link with nothing. Repeated rows stay; a null doc_id is never a component's smallest, and a row
-    with it and without partners has a null component. An empty table gives an empty result.
+def _buckets(pre: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of prefix rows: (token, id, hub, of, salted), the sets that share a token with others, and (id, hub) pairs to compare first.
 
-    Documents with equal sets are one from the start: their rows meet only in counts and minima. For other pairs, sets link
-    only if their prefixes share tokens under every global order. The first order, rarest first, deals sets into buckets;
-    buckets break where set sizes are too far apart. The other orders are tested for each pair of a bucket, on short lists,
-    before whole sets are fetched and compared. Orders go by counts of all shingles in 2**bits buckets, of fixed size
-    whatever the input; collisions change the speed, never the result. In each bucket one set, the one with the most common
-    tokens, is first compared with the others; that joins groups of copies without pairs. What is still apart in a bucket is
-    compared in blocks: the sets outside the bucket's largest component against all. So no link between different
-    components is lost and no list of all pairs is made.
+    One shuffle by token serves all of it. Buckets break where sizes do: sets of sizes too far apart can't link. Each bucket
+    has as its hub the set with the most common tokens. Tokens with very many sets are dealt in parts by the salt; each part
+    has a hub, and the parts' hubs meet the token's.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = written(docs.mapInArrow(_scan(size, bits), "doc_id long, n long, a long, b long, packed binary"))
-    rows = scan.where("packed is null").drop("packed")
-    counts = np.zeros(1 << bits, np.int64)
-    # 2**bits numbers in all, whatever the input.
-    for r in scan.where("packed is not null").groupBy("doc_id").applyInArrow(_summed, "doc_id long, packed binary").toLocalIterator():
-        counts[r[0] * 8192 : r[0] * 8192 + 8192] = np.frombuffer(r[1], np.int64)
-    mean = max(1.0, float(counts.mean()))
-    fine = np.clip(np.rint(24 * np.log2((counts + 1) / (mean + 1)) + 128), 0, 255)
-    coarse = np.clip(np.floor(np.log2(np.maximum(counts / (4 * mean + 16), 0.5))) + 1, 0, 255)
-    heats = spark.sparkContext.broadcast(np.stack([fine, coarse]).astype(np.uint8))
-
-    keys = ["n", "a", "b"]
-    # A set's id: a hash of its two hashes and size.
-    sid = F.xxhash64(*keys)
-    both = docs.mapInArrow(_prefixes(size, bits, percent, orders, heats), "token long, n long, a long, b long, hot long, other array<short>")
-    both = written(both.select("token", "n", sid.alias("id"), "hot", "other"))
-    # Tasks have left repeated sets out, so one shuffle by token serves what follows. Sets of sizes too far apart can't link:
-    # buckets break where sizes do.
-    pre = both.where("token is not null").select("token", "n", "id", "hot").repartition("token").groupBy("token", "n", "id").agg(F.max("hot").alias("hot"))
-    by_size = Window.partitionBy("token").orderBy("n", "id")
+    pre = pre.repartition("token", "salt").groupBy("token", "salt", "n", "id").agg(F.max("hot").alias("hot"))
+    by_size = Window.partitionBy("token", "salt").orderBy("n", "id")
     apart = F.coalesce(F.lag("n").over(by_size) * 100 < F.col("n") * percent, F.lit(True))
     pre = pre.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    at = Window.partitionBy("token", "run")
-    shared = pre.withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
-    shared = written(shared.where("of > 1").select(F.xxhash64("token", "run").alias("token"), "id", F.col("most.id").alias("hub"), "of"))
+    at = Window.partitionBy("token", "salt", "run")
+    held = pre.withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
+    salted = F.col("salt") > 0
+    bucket = F.when(salted, F.xxhash64("token")).otherwise(F.xxhash64("token", "run"))
+    held = written(held.where((F.col("of") > 1) | salted).select(bucket.alias("token"), "id", F.col("most.id").alias("hub"), F.col("most.hot").alias("hot"), F.col("of").cast("int").alias("of"), salted.alias("salted")))
+    tops = held.where("salted").select("token", "hub", "hot").distinct()
+    top = tops.groupBy("token").agg(F.max(F.struct("hot", "hub")).alias("top"))
+    pairs = held.select("id", "hub").union(tops.join(top, "token").select(F.col("hub").alias("id"), F.col("top.hub").alias("hub")))
+    return held, written(pairs.where("id <> hub").distinct())
+
+
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 22, block: int = 256, quota: int = 512) -> DataFrame:
+    """A row per document: doc_id, row (a hash of doc_id and text), n_shingles, component_id, as near_classes has them, and comp (the class itself, null without shingles)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    scan = written(docs.mapInArrow(_scan(size, bits), "doc_id long, row long, n long, id long, b long, packed binary"))
+    rows = scan.where("packed is null").drop("packed")
+    counts = np.zeros(1 << bits, np.uint64)
+    # 2**bits numbers in all, whatever the input; tasks' parts are summed in two steps.
+    parts = scan.where("packed is not null").groupBy("doc_id", "row").applyInArrow(_summed, kind := "doc_id long, row long, packed binary")
+    for r in parts.groupBy("doc_id").applyInArrow(_summed, kind).toLocalIterator():
+        counts[r[0] * 65536 : r[0] * 65536 + 65536] = _unpacked(r[2])
+    heats = spark.sparkContext.broadcast(Heats(counts.astype(np.float64), bits, quota))
+    pre = docs.mapInArrow(_prefixes(size, percent, heats), "token long, salt int, n int, id long, hot int")
+    shared, pairs = _buckets(pre, percent)
+
+    firsts = rows.where("n > 0").select("id", "row")
+
+    def marked(ids: DataFrame):
+        """A map of documents that have the sets of ids, one document each."""
+        return spark.sparkContext.broadcast(_mapped(firsts.join(ids.distinct(), "id").groupBy("id").agg(F.min("row").alias("row"))))
 
-    in_buckets = shared.select("id").distinct()
-    others = written(both.where("token is null").join(in_buckets, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("other").alias("other")))
-    firsts = rows.where("n > 0").withColumn("id", sid)
+    sketches = docs.mapInArrow(_sketches(size, percent, orders, heats, marked(shared.select("id"))), "id long, n long, sketch binary")
+    sketches = written(sketches.dropDuplicates(["id"]))
 
     def verified(work: DataFrame, merge: bool) -> DataFrame:
         """Links of the blocks in work: blk, id, is_left, comp. What is left of them is merged where blocks share sets."""
-        work = written(work)
-        alive = written(work.join(others, "id").groupBy("blk").applyInArrow(_survivors(percent), "blk long, id long, is_left boolean, comp long").distinct())
-        some = firsts.join(alive.select("id").distinct(), "id").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-        wanted = spark.sparkContext.broadcast(_mapped(some))
-        sets = written(docs.mapInArrow(_sets(size, wanted), "n long, a long, b long, s array<long>").withColumn("id", sid))
-        full = (_merged(alive, block) if merge else alive).join(sets.select("id", "n", "s"), "id")
-        return written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
-
-    pairs = shared.where("id <> hub").select("id", "hub").distinct()
-    pairs = written(pairs)
+        alive = written(work.join(sketches, "id").groupBy("blk").applyInArrow(_survivors(percent, orders), "blk long, id long, is_left boolean, comp long").distinct())
+        sets = written(docs.mapInArrow(_sets(size, marked(alive.select("id"))), "id long, n long, s array<long>"))
+        full = (_merged(alive, block) if merge else alive).join(sets, "id")
+        links = written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
+        dropped(sets)
+        return links
+
     # Members of a hub go to blocks of about `block` by hash; the number of blocks follows the hub's members.
     much = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("k"))
     dealt = written(pairs.join(much, "hub").select("hub", "id", F.xxhash64("hub", F.pmod(F.xxhash64("id"), F.col("k"))).alias("blk")))
@@ -375,7 +478,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     links = verified(work, False)
     comp = components(links)
 
-    part = shared.where("of > 2").select("token", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    part = shared.where("of > 2 or salted").select("token", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     size_of = part.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     best = size_of.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     best = best.select("token", F.col("m.comp").alias("big"), F.ceil(F.col("all") / block).cast("int").alias("k"), F.ceil((F.col("all") - F.col("m.c")) / block).cast("int").alias("kl"))
@@ -390,13 +493,36 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int
     more = verified(work.join(seen.select("blk"), "blk", "left_semi").select("blk", "id", "is_left", "comp"), True)
     if more.limit(1).count():
         comp = components(links.union(more))
+    for done in (shared, pairs, sketches, dealt, apart):
+        dropped(done)
 
-    own = firsts.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("id", sid)
+    own = rows.where("n > 0").groupBy("n", "id", "b").agg(F.min("doc_id").alias("least"))
     own = own.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = own.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "comp").select(*(F.col(k).alias(f"_{k}") for k in keys), "component_id")
-    out = rows.join(named, [F.col(k) == F.col(f"_{k}") for k in keys], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = own.join(least, "comp").select(*(F.col(k).alias(f"_{k}") for k in ("n", "id", "b")), "comp", "component_id")
+    out = rows.join(named, [F.col(k) == F.col(f"_{k}") for k in ("n", "id", "b")], "left")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
+
+
+def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3, bits: int = 22, block: int = 256, quota: int = 512) -> DataFrame:
+    """A row per document: doc_id, n_shingles (size of its set of distinct word shingles), component_id (the smallest doc_id that links reach).
+
+    docs: doc_id and text; other columns are ignored, whatever their names. Two documents link when 100 * intersection >=
+    percent * union. Texts are lower-cased in A-Z and split at ASCII white space; a text of fewer words than size is one
+    shingle; null and blank texts have no shingle and link with nothing. Repeated rows stay; a null doc_id is never a
+    component's smallest, and a row with it and without partners has a null component. An empty table gives an empty result.
+
+    Documents with equal sets are one from the start: their rows meet only in counts and minima. For other pairs, sets link
+    only if their prefixes share tokens under every global order. The first order, rarest first, deals sets into buckets;
+    buckets break where set sizes are too far apart, and tokens of more than `quota` sets are dealt in parts. The other
+    orders are tested for each pair of a bucket on parity bits of longer prefixes, and the whole sets on such bits of their
+    own, all of which can rule a link out but never lose one; only then are sets fetched and compared. Orders go by counts
+    of all shingles in 2**bits buckets, of fixed size whatever the input; collisions change the speed, never the result. In
+    each bucket one set, the one with the most common tokens, is first compared with the others; that joins groups of copies
+    without pairs. What is still apart in a bucket is compared in blocks: the sets outside the bucket's largest component
+    against all. So no link between different components is lost and no list of all pairs is made.
+    """
+    return classes(docs, size, percent, orders, bits, block, quota).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
