@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from hedera.llm.near import components, near_classes
+from hedera.llm.near import Heats, _keys, _least, _lengths, _width, _Words, components, near_classes, parity, possible, sets_of
 
 from .helpers import DOC, awkward, near_brute, rng_rows
 
@@ -34,3 +35,49 @@ def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i != 20], "u long, v long")
     got = {r.id: r.comp for r in components(df).collect()}
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
+
+
+def test_hot_tokens_are_dealt_in_parts(spark):
+    """Tokens of more than two sets are dealt in parts; the links stay the same."""
+    rows = rng_rows(7, 160)
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = sorted((tuple(r) for r in near_classes(df, 3, 90, bits=16, block=8, quota=2).collect()), key=str)
+    assert got == near_brute(rows, 3, 90)
+
+
+def test_clashing_columns(spark):
+    rows = rng_rows(8, 40)
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, row long, id string, comp int")
+    assert sorted((tuple(r) for r in near_classes(df, 3, 90).collect()), key=str) == near_brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_possible_loses_no_link(percent):
+    """What the filters rule out doesn't link, and of random pairs they rule out nearly all."""
+    rng, sets = np.random.default_rng(percent), []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)
+        sets.append(np.unique(base))
+        for _ in range(4):
+            some = base.copy()
+            some[: rng.integers(0, max(1, len(base) // 4))] += np.uint64(1)
+            sets.append(np.unique(some))
+    heats = Heats(np.ones(1 << 8), 8, 10)
+    n = np.array([len(s) for s in sets])
+    sketches = []
+    for s in sets:
+        heat, k = heats.of(s), int(_lengths(len(s), percent))
+        parts = [parity(s[_least(_keys(s, heat, j), k)], int(_width(4 * k))) for j in (1, 2)]
+        sketches.append(np.concatenate([*parts, parity(s, int(_width(2 * len(s))))]))
+    every = np.arange(len(sets))
+    sizes = (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+    may = possible(n, sketches, every, every, sizes, percent, 3)
+    links = np.array([[100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets] for a in sets])
+    assert not (links & ~may).any() and (may & ~links).sum() < 0.2 * (sizes & ~links).sum()
+
+
+def test_first_shingles():
+    """Whole sets of all kinds of texts: fewer words than size, one shingle twice, none."""
+    found = [b"a b", b"", None, b"a b c a b c", b"x", b"A b"]
+    values, ends = sets_of(found, 3, _Words())
+    assert np.diff(ends).tolist() == [1, 0, 0, 3, 1, 1] and values[0] == values[ends[5]]

@@ -45,13 +45,30 @@ def test_unlined(spark, docs):
 
 
 def test_distinct(spark, docs):
+    """One row of each class by brute force: of rows in a class that with the smallest (doc_id, hash); of equal rows one."""
     out = pipeline.distinct(spark, docs, SMALL)
-    known = near_brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
-    stay = {i for i, n, c in known if n == 0 or c is None or c == i}
-    want = {(r.doc_id, r.text) for r in docs.collect() if r.doc_id in stay}
+    held = sorted({(r.doc_id, r.text, r.h) for r in docs.selectExpr("*", "xxhash64(doc_id, text) AS h").collect()}, key=str)
+    # near_brute names classes by row numbers here, as doc_ids repeat.
+    held.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    named = dict((i, (n, c)) for i, n, c in near_brute([(i, t) for i, (_, t, _) in enumerate(held)], 5, 80))
+    want = [(i, t) for k, (i, t, _) in enumerate(held) if named[k][0] == 0 or named[k][1] == k]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
+def test_distinct_keeps_one_of_each_class(spark):
+    """Also where near copies share a doc_id or have none; columns with names of the operator's own stay."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "a"), (1, base + " x", "b"), (None, "q " + base[::-1], "c"), (None, base[::-1], "d"), (None, base[::-1], "d"), (3, None, "e"), (3, None, "e"), (None, "", "f")]
+    df = spark.createDataFrame([(*r, i, 1, 2, 3) for i, r in enumerate(rows)], "doc_id long, text string, source string, row long, tag long, doc int, _copies int")
+    out = pipeline.distinct(spark, df, SMALL)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    assert sum(n for (i, s), n in got.items() if s in "ab") == 1 and sum(n for (i, s), n in got.items() if s in "cd") == 1
+    assert got[3, "e"] == 1 and got[None, "f"] == 1 and sum(got.values()) == 4
+    mixed = pipeline.mix(spark, df, SMALL)
+    assert mixed.columns == df.columns and {r.row for r in mixed.collect()} <= set(range(8))
+
+
 def test_mix(spark, docs):
     from hedera.llm.mixing import mixed
 
