@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 #: What a character may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
@@ -19,9 +20,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 _LETTER = r"[^\W\d_]"
 #: A character of a spelled-out word, once or repeated; SEP stands between two of them.
 _UNIT, _SEP = r"([^\W\d_]|[0-9@$!+])", r"[ .\-_*]+"
-#: Where a text may be disguised: signs or digits inside, before or after letters; letters twice or more; words spelled out in letters, signs and digits.
+#: Where a text may be disguised: signs or digits inside, before or after letters; words spelled out in letters, signs and digits. (Letters twice or more are found by repeated_words.)
 _SIGNS = re.compile(rf"{_LETTER}[0-9@$!+*]+(?={_LETTER})|(?<!\S)[0-9@$!+]+{_LETTER}{{2}}|{_LETTER}(?:{_LETTER}[0-9@$*]+|[@$*]{{2,}})(?=[.,;:!?)\"']*(?!\S))")
-_REPEATS = re.compile(rf"{_LETTER}*({_LETTER})\1+{_LETTER}*")
+_SIGN = re.compile(r"[0-9@$!+*]+")
 _SPELLED = re.compile(rf"(?<![\w'@$!+])(?:{_UNIT}\1*{_SEP}){{2,}}{_UNIT}\2*(?![\w'@$+])")
 _WORDS = re.compile(rf"{_LETTER}+")
 
@@ -98,39 +99,119 @@ def decode(span: str, model: CharModel) -> str:
     return "".join(reversed(out)).strip()
 
 
+def unrepeated(word: str, model: CharModel) -> str:
+    """The cheapest string through the lattice of a word of letters only.
+
+    There a lattice branches at repeated letters only, and both branches meet again in one state after the next character;
+    what they cost until then depends on the letter and its two neighbours alone. So each place is decided by itself, with
+    the result that decode() has.
+    """
+    out, i, last = [], 0, " "
+    while i < len(word):
+        c, r = word[i], i + 1
+        while r < len(word) and word[r] == c:
+            r += 1
+        if r - i == 1:
+            out.append(c)
+        else:
+            after = word[r] if r < len(word) else " "
+            two = model.cost(last + c, c) + model.cost(c + c, after)
+            one = model.cost(last + c, after)
+            out.append(c * 2 if (two <= one + 2.5 if r - i == 2 else two < one) else c)
+        last, i = c, r
+    return "".join(out)
+
+
+_IS_LETTER, _IS_UNIT, _IS_SEP, _IS_EDGE = 1, 2, 4, 8
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point may be in the patterns above."""
+    out = np.zeros(0x110000, np.uint8)
+    for x in range(0x110000):
+        c = chr(x)
+        if c.isalnum():
+            out[x] = _IS_EDGE if c.isdecimal() else _IS_LETTER | _IS_UNIT | _IS_EDGE
+    for c in "0123456789@$!+":
+        out[ord(c)] |= _IS_UNIT | _IS_EDGE
+    for c in "_'":
+        out[ord(c)] |= _IS_EDGE
+    for c in " .-_*":
+        out[ord(c)] |= _IS_SEP
+    return out
+
+
+def _points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, _kinds()[points]
+
+
+def repeated_words(text: str) -> list[tuple[int, int]]:
+    """Where runs of letters begin and end that have a letter twice or more in a row."""
+    points, kinds = _points(text)
+    letter = (kinds & _IS_LETTER) > 0
+    twice = np.flatnonzero((points[1:] == points[:-1]) & letter[1:])
+    if not len(twice):
+        return []
+    edge = np.diff(np.r_[False, letter, False].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    words = np.unique(np.searchsorted(starts, twice, side="right") - 1)
+    return list(zip(starts[words].tolist(), ends[words].tolist(), strict=True))
+
+
+def may_be_spelled(text: str) -> bool:
+    """False only if no two single characters (or runs of one) stand alone with nothing but separators between them."""
+    points, kinds = _points(text)
+    if len(points) < 5:
+        return False
+    starts = np.flatnonzero(np.r_[True, points[1:] != points[:-1]])
+    ends = np.r_[starts[1:], len(points)]
+    before, after = np.r_[0, kinds[:-1]][starts], np.r_[kinds, 0][ends]
+    alone = ((kinds[starts] & _IS_UNIT) > 0) & ((after & _IS_SEP) > 0) & (((before & _IS_EDGE) == 0) | ((before & _IS_SEP) > 0))
+    starts, ends = starts[alone], ends[alone]
+    other = np.r_[0, np.cumsum((kinds & _IS_SEP) == 0)]
+    return bool((other[starts[1:]] == other[ends[:-1]]).any())
+
+
 class Restorer:
     """Restores lower-cased texts; only spans with more than one path are decoded, each distinct one once while it is kept."""
 
     def __init__(self, model: CharModel):
-        self.model, self.kept = model, {}
+        self.model, self.kept, self.signed = model, {}, {}
 
-    def span(self, span: str) -> str:
-        if (got := self.kept.get(span)) is None:
-            if len(self.kept) > 50_000:
-                self.kept.clear()
-            got = decode(span, self.model)
+    def _of(self, span: str, made, kept: dict) -> str:
+        if (got := kept.get(span)) is None:
+            if len(kept) > 50_000:
+                kept.clear()
+            got = made(span, self.model)
             if len(span) < 200:
-                self.kept[span] = got
+                kept[span] = got
         return got
 
     def __call__(self, text: str | None) -> str:
         text = (text or "").lower()
-        if _SIGNS.search(text):
-            out, done = [], 0
-            for m in _SIGNS.finditer(text):
-                if m.start() < done:
-                    continue
-                start, end = m.start(), m.end()
-                while start > done and not text[start - 1].isspace():
-                    start -= 1
-                while end < len(text) and not text[end].isspace():
-                    end += 1
-                out += [text[done:start], self.span(text[start:end])]
-                done = end
-            text = "".join([*out, text[done:]])
-        text = _REPEATS.sub(lambda m: self.span(m[0]), text)
+        out, done = [], 0
+        for m in _SIGN.finditer(text):
+            if m.start() < done:
+                continue
+            start, end = m.start(), m.end()
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            out += [text[done:start], self._of(text[start:end], lambda x, model: decode(x, model) if _SIGNS.search(x) else x, self.signed)]
+            done = end
+        text = "".join([*out, text[done:]]) if out else text
+        out, done = [], 0
+        for start, end in repeated_words(text):
+            out += [text[done:start], self._of(text[start:end], unrepeated, self.kept)]
+            done = end
+        text = "".join([*out, text[done:]]) if out else text
+        if not may_be_spelled(text):
+            return text
         # Of numbers and signs alone, or with a single letter, no word is made.
-        return _SPELLED.sub(lambda m: self.span(m[0]) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
+        return _SPELLED.sub(lambda m: self._of(m[0], decode, self.kept) if sum(map(str.isalpha, m[0])) > 1 else m[0], text)
 
 
 def _grams(words: Counter) -> pa.RecordBatch:
@@ -163,18 +244,26 @@ def stems(text: str, least: int = 3, most: int = 9) -> set[str]:
     return out
 
 
-def _stem_counts(model, wanted):
+def _restored(model):
+    def run(batches):
+        restore = Restorer(model.value)
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([restore(t) for t in batch.column("text").to_pylist()], pa.string()), batch.column("toxic")], ["text", "toxic"])
+
+    return run
+
+
+def _stem_counts(wanted):
     """Documents with each stem: (stem, toxic, clean). wanted: count only these; None: count all stems of toxic texts."""
 
     def run(batches):
-        restore = Restorer(model.value)
         only = None if wanted is None else wanted.value
         for batch in batches:
             counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 if only is None and not toxic:
                     continue
-                found = stems(restore(text))
+                found = stems(text)
                 for s in found if only is None else found & only:
                     counts[s][0 if toxic else 1] += 1
             yield pa.RecordBatch.from_pydict({"stem": pa.array(list(counts), pa.string()), "t": pa.array([x[0] for x in counts.values()], pa.int64()), "c": pa.array([x[1] for x in counts.values()], pa.int64())})
@@ -204,11 +293,11 @@ class Lexicon:
         return best, math.log1p(hits), math.log1p(100 * hits / max(len(words), 1))
 
 
-def _features(model, lexicon):
+def _features(lexicon):
     def run(batches):
-        restore, lex = Restorer(model.value), lexicon.value
+        lex = lexicon.value
         for batch in batches:
-            f = [lex.features(restore(t)) for t in batch.column("text").to_pylist()]
+            f = [lex.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(f, pa.list_(pa.float64()))], ["toxic", "x"])
 
     return run
@@ -244,11 +333,12 @@ class Classifier:
         self.__init__(CharModel(state[0]), Lexicon(state[1]), state[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams: int = 200_000, most_stems: int = 2_000, most_candidates: int = 100_000) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams: int = 200_000) -> Classifier:
     """A classifier of texts from docs (doc_id, text) and labels (doc_id, toxic); only texts and labels are used.
 
-    The character model counts the trigrams of all docs and keeps the most_grams most frequent ones. most_rows bounds the
-    labelled rows that stems and weights are learned from: those first by a hash of doc_id. Rows without a label or with a null
+    The character model counts the trigrams of all docs; most_grams bounds how many of them it holds, the most frequent ones
+    (a trigram that it doesn't hold is smoothed from pairs and letters). most_rows bounds the labelled rows that stems and
+    weights are learned from: those first by a hash of doc_id; what is learned from them has no other bound. Rows without a label or with a null
     doc_id are not used; of several labels for a doc_id the largest counts. A stem (the beginning of a word) enters the
     lexicon if it is in toxic texts far more often than chance allows for so many stems, and is left out where a shorter
     one does the same work.
@@ -267,13 +357,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
         return Classifier(chars, Lexicon({}), np.array([prior, 0.0, 0.0, 0.0]))
 
     shared = spark.sparkContext.broadcast(chars.three)
-    model = _Lazy(shared)
-    counts = rows.mapInArrow(_stem_counts(model, None), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"))
-    counts = written(counts)
-    tested = counts.where("t > 2").count()
-    some = counts.where(F.col("t") >= 4).orderBy(F.desc("t"), "stem").limit(most_candidates)
-    wanted = spark.sparkContext.broadcast({r["stem"] for r in some.select("stem").collect()})
-    found = rows.mapInArrow(_stem_counts(model, wanted), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    rows = written(rows.mapInArrow(_restored(_Lazy(shared)), "text string, toxic int"))
+    # Stems of at most most_rows texts.
+    counts = rows.mapInArrow(_stem_counts(None), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"))
+    counts = written(counts.where("t > 2"))
+    tested = counts.count()
+    wanted = spark.sparkContext.broadcast({r["stem"] for r in counts.where("t >= 4").select("stem").collect()})
+    found = rows.mapInArrow(_stem_counts(wanted), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
 
     share, least = n_toxic / (n_toxic + n_clean), 2 * math.log(max(tested, 10)) + 4
     odds, order = {}, []
@@ -286,9 +376,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
         shorter = [odds[s[:k]] for k in range(3, len(s)) if s[:k] in odds]
         if not shorter or o > max(shorter) + 1.0:
             odds[s] = o
-    odds = dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:most_stems])
     lexicon = spark.sparkContext.broadcast(Lexicon(odds))
-    got = rows.mapInArrow(_features(model, lexicon), "toxic int, x array<double>").collect()  # most_rows rows at most
+    got = rows.mapInArrow(_features(lexicon), "toxic int, x array<double>").collect()  # most_rows rows at most
     x, y = np.array([r["x"] for r in got]), np.array([float(r["toxic"] == 1) for r in got])
     return Classifier(chars, Lexicon(odds), logistic(x, y))
 
@@ -307,7 +396,7 @@ class _Lazy:
 def _score(shared, keep: list[str]):
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([model.score(t) for t in batch.column("text").to_pylist()], pa.float64())], [*keep, "score"])
 
     return run
@@ -317,7 +406,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with a column score, from 0 (clean) to 1 (toxic), in place of a column of that name; other columns stay.
 
     docs: text and any others. Null and empty texts get the score of a text without any stem. Every whole text is restored
-    and scored; an empty table gives an empty result.
+    and scored; rows that repeat a text have equal scores; an empty table gives an empty result.
     """
     keep = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -275,6 +275,24 @@ def test_restored_combined(model):
         assert model.restore(text) == text
 
 
+def test_repeated_letters_as_decoded(model):
+    """Deciding each repeated letter by itself gives what the Viterbi over the whole lattice gives."""
+    rng = __import__("random").Random(6)
+    for _ in range(400):
+        w = "".join(c * rng.choice([1, 1, 1, 2, 2, 3, 5]) for c in rng.choice([sentence(rng, 1), "idiot", "moron", "stupid", "worthless"]))
+        assert toxicity.unrepeated(w, model.chars) == toxicity.decode(w, model.chars), w
+
+
+def test_where_to_look():
+    """Words with repeated letters and spelled-out words are found where the plain patterns find them."""
+    rng = __import__("random").Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("aabbc1@ .-_*'Ü日½\n") for _ in range(rng.randrange(25)))
+        plain = [m.span() for m in re.finditer(r"[^\W\d_]*([^\W\d_])\1+[^\W\d_]*", text)]
+        assert toxicity.repeated_words(text) == plain, text
+        assert toxicity.may_be_spelled(text) or not toxicity._SPELLED.search(text), text
+
+
 def test_scores(spark, model):
     rng = __import__("random").Random(9)
     df = awkward(spark, [(100, sentence(rng, 50), "en", "s", 1), (101, sentence(rng, 50) + " 1d10t st0pid m o r o n", "en", "s", 1), (102, sentence(rng, 20) + " idiot stupid " + sentence(rng, 20), "en", "s", 1)]).withColumnRenamed("n_chars", "score")
