@@ -84,21 +84,12 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
                 yield i, scores, found
 
 
-def _one_row_per_id(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated ids keep their smallest vector, component by component from the first."""
-    if len(np.unique(ids)) == len(ids):
-        return ids, points
-    order = np.lexsort((*points.T[::-1], ids))
-    first = np.r_[True, ids[order][1:] != ids[order][:-1]]
-    return ids[order][first], points[order][first]
-
-
 def _searcher(k: int, leaf_rows: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         n, m = vectors.num_rows, queries.num_rows
         rows = []
         if n and m:
-            ids, points = _one_row_per_id(vectors["vec_id"].to_numpy(), matrix(vectors["vec"], n))
+            ids, points = vectors["vec_id"].to_numpy(), matrix(vectors["vec"], n)
             qids, q = queries["query_id"].to_numpy(), matrix(queries["vec"], m)
             floor = queries["floor"].to_numpy()
             rows = list(search(BallTree(points, leaf_rows), ids, q, qids, floor, k))
@@ -114,10 +105,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: i
 
     vectors and queries: (id, vector of double) by position; other columns may follow and are ignored. Inner products are
     exact where they and their terms are integers under 2**53. Rows whose id or vector is null, or whose vector is empty or
-    has null or non-finite components, take no part. A vector meets queries of its own length only. A query's own id is no
-    candidate for it. Rows that repeat an id count once, with the smallest vector. Empty inputs give an empty result.
+    has null or non-finite components, take no part. A vector meets queries of its own length only. Rows with a
+    query's own id are no candidates for it. Of vectors, rows that repeat an id are candidates each; of queries they count
+    once, with the smallest vector. Empty inputs give an empty result.
 
-    Vectors are dealt to shards by a hash of their id, so copies and hot labels spread evenly. First each query searches one
+    Vectors are dealt to shards by a hash of id and vector, so copies and hot labels spread evenly. First each query searches one
     shard; the k-th score found there is then the floor with which all shards are searched, in blocks of queries. A shard
     returns at most k rows a query, so what is merged is small.
     """
@@ -127,7 +119,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: i
     shards = max(shards_least, math.ceil(v.count() / shard_rows))
     q = written(q)
     blocks = max(1, math.ceil(q.count() / query_block))
-    v = v.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    v = v.withColumn("dim", F.size("vec")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int"))
     q = q.withColumn("dim", F.size("vec")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     run = _searcher(k, leaf_rows)
 
