@@ -250,7 +250,3 @@ def fit_iv(p: Problem, estimator="2sls", kappa=None, fuller=0.0, center=False, c
 
 
 ivreghdfe = ivhdfe
-
-
-def pvalue_t(stat: float, df: float) -> float:
-    return 2 * dist.t_sf(abs(stat), df) if math.isfinite(stat) else math.nan

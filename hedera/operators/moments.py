@@ -161,7 +161,3 @@ def sandwich(bread: np.ndarray, meat: np.ndarray, repair: bool) -> np.ndarray:
     v = bread @ meat @ bread.T
     v = (v + v.T) / 2
     return fix_psd(v) if repair else v
-
-
-def is_finite(x: float) -> bool:
-    return math.isfinite(x)

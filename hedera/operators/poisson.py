@@ -317,8 +317,14 @@ def _irls(p: Problem, df: DataFrame, x: list[str], ins: list[str], nc: int, conf
     state = State(np.zeros(len(x)), [], F.log(F.greatest(0.5 * (y + F.lit(mean)), 0.05 * y, F.lit(1e-3))))
     work = with_eta(df, p.terms, x, state)
     before = work.agg(deviance_of(y, F.col("mu"), F.col("eta"), w)).first()[0]
-    halvings = 0
+    # anchor: the predictor from which a run of halvings began; every halving mixes with it.
+    halvings, anchor = 0, state
     for it in range(1, config.max_iter + 1):
+        if not halvings:
+            anchor = state
+        # The bound holds for predictors that were accepted, after halving.
+        if iv and it > 10 and work.agg(F.max(F.abs("eta"))).first()[0] > 30:
+            raise DivergenceError(f"the fit diverged at iteration {it}", details={"iteration": it}, suggestion="try more separation methods or fewer effects")
         a = absorb(work, p.terms, ["z", *x, *ins], "v", config.hdfe, 1e-11)
         cols = [F.col(f"_r_{c}") for c in ["z", *x, *ins]]
         if x:
@@ -333,16 +339,16 @@ def _irls(p: Problem, df: DataFrame, x: list[str], ins: list[str], nc: int, conf
             b = np.zeros(0)
         new = State(b, _predictor(a, p.terms, b, list(range(1, len(x) + 1))))
         work = with_eta(df, p.terms, x, new)
-        dev, top = work.agg(deviance_of(y, F.col("mu"), F.col("eta"), w), F.max(F.abs("eta"))).first()
-        if not math.isfinite(dev) or (iv and it > 10 and top > 30):
+        dev = work.agg(deviance_of(y, F.col("mu"), F.col("eta"), w)).first()[0]
+        if not math.isfinite(dev):
             raise DivergenceError(f"the fit diverged at iteration {it}", details={"iteration": it}, suggestion="try more separation methods or fewer effects")
         delta = before - dev
         gap = abs(dev if dev < 0.1 * delta else delta) / max(min(dev, before), 0.1)
         if gap < config.tolerance or dev == 0:
             return new, {"deviance": dev, "iterations": float(it)}
-        if iv and delta < 0 and it > 1 and halvings < config.max_step_halving and state.effects:
+        if iv and delta < 0 and it > 1 and halvings < config.max_step_halving and anchor.effects:
             share = config.step_halving_memory
-            new = State(share * state.b + (1 - share) * b, _blend(state.effects, new.effects, share))
+            new = State(share * anchor.b + (1 - share) * b, _blend(anchor.effects, new.effects, share))
             work = with_eta(df, p.terms, x, new)
             halvings += 1
             state = new

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -295,8 +293,8 @@ def iv_gmm2s(spark, sf_dir):
 def iv_rank_tests(spark, sf_dir):
     r = _iv(spark, sf_dir, vce="robust")
     r.release()
-    k = r.diagnostics["kleibergen_paap"]
-    return named(spark, [(n, k[n]) for n in ("rk_lm", "rk_wald_chi2", "rk_wald_f")] + [("sw_f", r.diagnostics["conditional"][0]["sw"]["f_robust"]), ("size_10", r.diagnostics["stock_yogo"]["maximal_iv_size"]["10%"])], 3)
+    k = r.diagnostics["underidentification"]
+    return named(spark, [("lm", k["lm"]["statistic"]), ("wald", k["wald"]["statistic"]), ("wald_f", k["wald"]["f"])] + [("sw_f", r.diagnostics["conditional"][0]["sw"]["f_robust"]), ("size_10", r.diagnostics["stock_yogo"]["maximal_iv_size"]["10%"])], 3)
 
 
 # ---------------------------------------------------------------------------------------------------------- Poisson
@@ -304,10 +302,24 @@ def iv_rank_tests(spark, sf_dir):
 
 def _counts(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("v"), F.avg(F.dayofmonth("ts")).alias("d"))
+    return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("v"), F.avg(F.dayofmonth("ts")).alias("d"), F.max("value").alias("m"))
 
 
-@query()
+def _irls_sql(instrument: str, meat: str, steps: int = 30) -> str:
+    """Iteratively reweighted steps with one effect, unrolled: y on x with an instrument z (x itself without one)."""
+    out = [f"""c AS (SELECT event_type AS g, count(*)::DOUBLE AS y, avg(value) AS x, {instrument} AS z FROM events GROUP BY user_id, event_type),
+s0 AS (SELECT *, ln(greatest(0.5 * (y + avg(y) OVER ()), 0.05 * y, 1e-3)) AS eta FROM c)"""]
+    for i in range(steps):
+        out.append(f"""w{i} AS (SELECT *, exp(eta) AS mu, eta - 1 + y / exp(eta) AS r FROM s{i}),
+m{i} AS (SELECT g, y, x, z, mu, r, sum(mu * r) OVER p / sum(mu) OVER p AS rb, sum(mu * x) OVER p / sum(mu) OVER p AS xb, sum(mu * z) OVER p / sum(mu) OVER p AS zb FROM w{i} WINDOW p AS (PARTITION BY g)),
+b{i} AS (SELECT sum(mu * (z - zb) * (r - rb)) / sum(mu * (z - zb) * (x - xb)) AS b FROM m{i}),
+s{i + 1} AS MATERIALIZED (SELECT g, y, x, z, rb + b * (x - xb) AS eta FROM m{i}, b{i})""")
+    last = steps - 1
+    return "WITH " + ",\n".join(out) + f"""
+SELECT 'v' AS variable, round(any_value(b), 6) AS estimate, round(sqrt({meat}) / abs(sum(mu * (z - zb) * (x - xb))), 6) AS std_error FROM m{last}, b{last}"""
+
+
+@query(_irls_sql("avg(value)", "sum(((x - xb) * (y - mu)) ^ 2) * count(*) / (count(*) - 1 - count(DISTINCT g))"))
 def ppml_fe1(spark, sf_dir):
     return short(spark, poisson.ppmlhdfe(_counts(spark, sf_dir), y="n", x=["v"], absorb=["event_type"]), 6)
 
@@ -317,9 +329,10 @@ def ppml_fe2(spark, sf_dir):
     return short(spark, poisson.ppmlhdfe(_counts(spark, sf_dir), y="n", x=["v"], absorb=["user_id", "event_type"], cluster="user_id"), 6)
 
 
-@query()
+@query(_irls_sql("max(value)", "sum(((z - zb) * (y - mu)) ^ 2) * count(*) / (count(*) - 1.0)"))
 def ivppml(spark, sf_dir):
-    return short(spark, poisson.ivppmlhdfe(_counts(spark, sf_dir), y="n", endog=["v"], instruments=["d"], absorb=["event_type"]), 6)
+    """The mean value, with the largest one as its instrument."""
+    return short(spark, poisson.ivppmlhdfe(_counts(spark, sf_dir), y="n", endog=["v"], instruments=["m"], absorb=["event_type"]), 6)
 
 
 @query("""WITH c AS (SELECT l_suppkey AS g, l_partkey AS h, CASE WHEN l_quantity > 48 THEN l_quantity ELSE 0 END AS y FROM lineitem),
@@ -409,7 +422,13 @@ def wild_cluster(spark, sf_dir):
     return named(spark, [("statistic", t.statistic), ("pvalue", t.pvalue), ("clusters", t.clusters), ("draws", len(t.draws))])
 
 
-@query()
+_MAP_SWEEPS = ["s0 AS (SELECT c_nationkey AS g, c_mktsegment AS h, c_acctbal AS y, (c_custkey % 7)::DOUBLE AS x FROM customer)"] + [
+    f"s{i + 1} AS MATERIALIZED (SELECT g, h, y - avg(y) OVER (PARTITION BY {'gh'[i % 2]}) AS y, x - avg(x) OVER (PARTITION BY {'gh'[i % 2]}) AS x FROM s{i})" for i in range(60)
+]
+
+
+@query("WITH " + ",\n".join(_MAP_SWEEPS) + """, b AS (SELECT sum(x * y) / sum(x * x) AS b, 1 / sum(x * x) AS a, count(*) AS n, count(DISTINCT g) + count(DISTINCT h) - 1 AS k FROM s60)
+SELECT 'x' AS variable, round(any_value(b), 4) AS estimate, round(sqrt(any_value(a) * sum((y - b.b * x) ^ 2) / (any_value(n) - 1 - any_value(k))), 4) AS std_error FROM s60, b""")
 def ols_map_solver(spark, sf_dir):
     """Alternating projections on the cluster, as for data that the driver can't hold."""
     r = linear.olshdfe(table(spark, sf_dir, "customer").withColumn("x", F.col("c_custkey") % 7), y="c_acctbal", x=["x"], absorb=["c_nationkey", "c_mktsegment"], config=HDFEConfig(solver="map", tolerance=1e-7))
@@ -423,7 +442,3 @@ def ppml_separation(spark, sf_dir):
     r = poisson.ppmlhdfe(d, y="y", x=["d", "z"], absorb=["event_type"], collinearity="drop", config=PPMLConfig())
     r.release()
     return named(spark, [("nobs", r.n), ("separated", r.stats["separated"]), *r.params.items()], 4)
-
-
-def is_number(x: float) -> bool:
-    return math.isfinite(x)

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this process."""
+    """spark.checkpoint.dir; in local mode without it a folder of this process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="hedera-")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(shutil.rmtree, named, ignore_errors=True)

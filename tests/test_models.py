@@ -115,7 +115,13 @@ def test_iv_and_diagnostics(df, panel):
     s = (z * e[:, None]).T @ (z * e[:, None])
     g = z.T @ e
     assert r.diagnostics["overidentification"]["stat"] == pytest.approx(g @ np.linalg.solve(s, g), rel=1e-6)
-    assert r.diagnostics["kleibergen_paap"]["rk_wald_f"] > 10
+    # With one endogenous regressor the Wald test is that of its first-stage coefficients.
+    p = np.linalg.lstsq(z, x[:, 1], rcond=None)[0]
+    zt = z[:, 1:] - z[:, :1] @ np.linalg.lstsq(z[:, :1], z[:, 1:], rcond=None)[0]
+    v = (x[:, 1] - z @ p)[:, None] * zt
+    spread = np.linalg.inv(zt.T @ zt) @ (v.T @ v) @ np.linalg.inv(zt.T @ zt)
+    wald = r.diagnostics["underidentification"]["wald"]
+    assert wald["statistic"] == pytest.approx(p[1:] @ np.linalg.solve(spread, p[1:]), rel=1e-6) and wald["df"] == 2 and wald["f"] > 10
     liml = linear.ivhdfe(df, y="y", exog=["x"], endog=["e1"], instruments=["z1", "z2"], absorb=["firm"], estimator="liml", diagnostics=False)
     assert liml.notes["kappa"] >= 1
     just = [linear.ivhdfe(df, y="y", exog=["x"], endog=["e1"], instruments=["z1"], absorb=["firm"], estimator=m, diagnostics=False).coef for m in ("2sls", "liml", "gmm2s")]
@@ -149,6 +155,21 @@ def test_ppml(df, panel):
     r.release(), iv.release()
 
 
+def test_ivppml_moments(df, panel):
+    """With other instruments than the regressor: the instruments' moments vanish, as do those of all effects."""
+    d = dummies(panel.firm, panel.year)
+    r = poisson.ivppmlhdfe(df, y="count", exog=["x"], endog=["e1"], instruments=["z1"], absorb=["firm", "year"])
+    a, z = np.hstack([panel[["x", "e1"]].to_numpy(), d]), np.hstack([panel[["x", "z1"]].to_numpy(), d])
+    y, b = panel["count"].to_numpy(float), np.linalg.lstsq(d, np.log(panel["count"] + 0.5), rcond=None)[0]
+    b = np.r_[0.0, 0.0, b]
+    for _ in range(100):
+        mu = np.exp(a @ b)
+        b = b + 0.5 * np.linalg.solve(z.T @ (a * mu[:, None]), z.T @ (y - mu))
+    assert np.abs(z.T @ (y - np.exp(a @ b))).max() < 1e-6
+    assert np.allclose(r.coef, b[:2], atol=1e-5)
+    r.release()
+
+
 def test_separation(spark):
     d = spark.createDataFrame([(0.0, 1, 1), (1.0, 1, 1), (0.0, 2, 1), (0.0, 2, 2), (1.0, 2, 2)], "y double, a int, b int")
     assert poisson.fe_separated(d, ["a", "b"])[1] == 0
