@@ -18,12 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of this process only where none is named (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode without one a folder of this process (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="hedera-")
         spark.conf.set("spark.checkpoint.dir", named)
         atexit.register(shutil.rmtree, named, ignore_errors=True)
