@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dist
 from ..functions.errors import InferenceError, SpecificationError, UnderidentifiedError, error_boundary
 from ..functions.linalg import equilibrated_gram_inverse
 from ..functions.spec import HDFEConfig
