@@ -25,7 +25,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def line_deduped(docs: DataFrame, least_sites: int = 5, deviation: float = 0.1, hot_share: int = 10_000) -> DataFrame:
     """docs with each line that stands on least_sites sites or more left only where it stands first; the input's columns and n_lines, n_removed.
 
-    docs: doc_id, text, source (the site) and any others. A line is what stands between newlines; lines compare trimmed and
+    docs: doc_id, text, source (the site) and any others, whatever their names (columns n_lines and n_removed are replaced).
+    A line is what stands between newlines; lines compare trimmed and
     in lower case; blank lines are never removed. A null source is one site. A line's first place is the one with the
     smallest (doc_id, hash of the row, position), a null doc_id last. Rows are never dropped: a null text stays null with
     0 lines; a text may become blank. Rows that are equal in doc_id, source and text get equal results. An empty table gives
@@ -58,13 +59,18 @@ def line_deduped(docs: DataFrame, least_sites: int = 5, deviation: float = 0.1,
     cold = spread.where(~hot).select(F.col("line").alias("k"), F.col("line2").alias("k2"), "first")
     gone = known.join(cold, ["k", "k2"], "left").select("doc", "pos", F.coalesce("hot", "first").alias("first")).where("first is not null")
     gone = gone.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
-    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
-
-    kept = docs.withColumn("_doc", F.xxhash64("doc_id", "source", "text")).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    parts = F.split("text", "\n", -1)
-    left = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))
-    return kept.select(*(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+
+    # The input's columns travel as one, so that none of their names can clash with those used here.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = docs.select(whole, F.xxhash64("doc_id", "source", "text").alias("doc")).join(gone, "doc", "left")
+    text = F.col("row").getField("text")
+    parts = F.split(text, "\n", -1)
+    left = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains("gone", i)))
+    n_lines, n_removed = F.when(text.isNull(), 0).otherwise(F.size(parts)), F.coalesce(F.size("gone"), F.lit(0))
+    cut = F.when(F.col("gone").isNull(), text).otherwise(left).alias("text")
+    rest = (cut if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed"))
+    return kept.select(*rest, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

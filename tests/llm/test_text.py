@@ -95,6 +95,14 @@ def test_lines(spark, least):
     assert lines.line_deduped(df.limit(0), least).count() == 0
 
 
+def test_lines_clashing_columns(spark):
+    rows = [(i, f"shared\nown {i}", f"s{i}", 1, 2, 3, 4) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, doc int, gone int, _doc int, n_lines int")
+    got = lines.line_deduped(df, 5)
+    assert got.columns == ["doc_id", "text", "source", "doc", "gone", "_doc", "n_lines", "n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(i, rows[0][1] if i == 0 else f"own {i}", f"s{i}", 1, 2, 3, 2, int(i > 0)) for i in range(6)]
+
+
 # ---------------------------------------------------------------------------------------------------------- licences
 
 
