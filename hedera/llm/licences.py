@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import math
+import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -41,66 +42,84 @@ TEMPLATES = (
 )
 
 #: Words too common to look up: of the function words, those that the templates have.
-COMMON = frozenset("a above all and any are by for free fee in into is made must of or or person source the this to under use with without work 0 1 2 3 4".split())
+COMMON = frozenset("a above all and any are by for free fee in into is made must of or person source the this to under use with without work 0 1 2 3 4".split())
 
 
-def _index() -> list[tuple]:
-    """A row for each word of a template: template, label, base, word, position, number of words, where the key phrase starts, its length."""
+def _templates() -> list[tuple]:
+    """(label, words, where the key phrase starts, its length) of each template; the first len(BASE) ones are the base phrases."""
     rows = []
-    for t, (label, text, key) in enumerate([(a, b, b) for a, b in BASE] + list(TEMPLATES)):
+    for label, text, key in [(a, b, b) for a, b in BASE] + list(TEMPLATES):
         words, key_words = text.split(), key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-        for i, w in enumerate(words):
-            rows.append((t, label, t < len(BASE), w, i, len(words), at, len(key_words)))
+        rows.append((label, words, at, len(key_words)))
     return rows
 
 
-def _key_pattern(key: str) -> str:
-    """A key phrase with its words consecutive, as a pattern on original texts."""
-    edge, gap = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return f"(?i)(?<!{edge})" + gap.join(map(re.escape, key.split())) + f"(?!{edge})"
+def _doc() -> Column:
+    """What stands for a row: two hashes of (doc_id, text)."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1), "doc_id").alias("b")).alias("doc")
 
 
-def licence_places(docs: DataFrame, anchors: int = 2, coverage: float = 0.6) -> DataFrame:
-    """(doc, template, label, base, start, score) for each place of a template; doc is a hash of (doc_id, text).
+def licence_places(docs: DataFrame) -> DataFrame:
+    """(doc, template, label, base, start, score) for each place of a template; doc is _doc() of its row.
 
     One scan takes the words of every whole text and keeps the templates' words with their positions, except function words
-    and digits. From those rows come each word's document frequency over all documents, and so its IDF. The `anchors` words of
-    highest IDF of each key phrase are looked up; a word at position p that is word i of a template says that it may start at
-    p - i. Starts that all anchors agree on are candidates; there the other words are intersected by relative position, and a
-    place counts if every indexed word of the mandatory key phrase is at its position and at least `coverage` of the
-    template's words are. Words outside the key phrase count for score and coverage only.
+    and digits. From those rows come each word's document frequency over all documents, and so its IDF. Of each file's
+    licence words only those of highest IDF are looked up: a word is if no indexed word of some key phrase is rarer. At
+    position p, as word i of a template, it says that the template may start at p - i. The postings of the key phrase's other
+    indexed words are intersected with those starts by relative position. The texts of the starts that are left are read
+    again, and the mandatory key phrase, function words included, has to stand at its place, word by word. score is the share
+    of all words of the template that stand in place; words outside the key phrase count for nothing else. A place may start
+    before its text, as the words ahead of the key phrase aren't mandatory.
     """
     spark = docs.sparkSession
-    index = _index()
-    rare = sorted({r[3] for r in index} - COMMON)
-    words = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "raw"))
+    templates = _templates()
+    rare = sorted({w for _, words, _, _ in templates for w in words} - COMMON)
+    words = docs.select(_doc(), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "raw"))
     low = F.lower("raw")
     # Lower case of another length has letters beyond ASCII that only look like the word.
     words = words.select("doc", "pos", low.alias("word")).where(low.isin(rare) & (F.octet_length("raw") == F.octet_length(low)))
     hits = written(words.distinct())
-    n = hits.select("doc").distinct().count()
+    n = docs.count()
     idf = hits.select("doc", "word").distinct().groupBy("word").agg(F.log((F.lit(n) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
     idf = {r["word"]: r["idf"] for r in idf.collect()}  # one row for each of the templates' words at most
 
     posts = []
-    for t in {r[0] for r in index}:
-        own = [r for r in index if r[0] == t]
-        known = [r for r in own if r[3] in set(rare)]
-        phrase = [r for r in known if r[6] <= r[4] < r[6] + r[7]]
-        top = sorted(phrase, key=lambda r: (-idf.get(r[3], -1.0), r[4]))[:anchors] if not own[0][2] else known
-        mask = sum(1 << r[4] for r in known)
-        key = sum(1 << r[4] for r in phrase)
-        need = sum(1 << r[4] for r in top)
-        posts += [(r[0], r[1], r[2], r[3], r[4], 1 << r[4], need, key, len(known), mask) for r in known]
-    post = spark.createDataFrame(posts, "template int, label string, base boolean, word string, at int, bit long, need long, key long, known int, mask long")
-    # The index has a row for each word of each template: some hundred rows, whatever the input.
-    at = hits.join(F.broadcast(post), "word").select("doc", "template", "label", "base", "need", "key", "known", (F.col("pos") - F.col("at")).alias("start"), "bit")
-    # A place may start before its text: the words ahead of the key phrase aren't mandatory.
-    places = at.groupBy("doc", "template", "label", "base", "need", "key", "known", "start").agg(F.bit_or("bit").alias("got"))
-    hold = lambda m: F.col("got").bitwiseAND(F.col(m)) == F.col(m)
-    score = F.bit_count("got") / F.col("known")
-    return places.where(hold("need") & hold("key") & (score >= coverage)).select("doc", "template", "label", "base", "start", score.alias("score"))
+    for t, (_, own, at, long) in enumerate(templates):
+        phrase = [(w, i) for i, w in enumerate(own) if at <= i < at + long and w not in COMMON]
+        # A word that no document has is rarest of all: nothing can hold the phrase.
+        first = max(phrase, key=lambda wi: (idf.get(wi[0], math.inf), -wi[1]))
+        posts += [(t, w, i, (w, i) == first, len(phrase)) for w, i in phrase]
+    post = F.broadcast(spark.createDataFrame(posts, "template int, word string, at int, first boolean, known int"))
+    # The index has a row for each word of each key phrase: some hundred rows, whatever the input.
+    starts = hits.join(post.where("first"), "word").select("doc", "template", (F.col("pos") - F.col("at")).alias("start"))
+    more = starts.join(post, "template").select("doc", (F.col("start") + F.col("at")).alias("pos"), "word", "template", "start", "known")
+    agreed = more.join(hits, ["doc", "pos", "word"]).groupBy("doc", "template", "start", "known").count().where("count = known")
+    # As many places as the text has room for.
+    per = agreed.groupBy("doc").agg(F.collect_list(F.struct("template", "start")).alias("places"))
+    some = docs.select(_doc(), "text").join(per, "doc")
+    held = some.select("doc", F.explode(_verified(templates)).alias("p")).select("doc", "p.*").distinct()
+    label = F.get(F.array(*(F.lit(t[0]) for t in templates)), F.col("template"))
+    return held.select("doc", "template", label.alias("label"), (F.col("template") < len(BASE)).alias("base"), "start", "score")
+
+
+def _verified(templates: list[tuple]) -> Column:
+    """Those of `places` whose key phrase stands in `text`, with their scores."""
+    words_of = F.array(*(F.array(*map(F.lit, t[1])) for t in templates))
+    key_at, key_long = (F.array(*(F.lit(t[k]) for t in templates)) for k in (2, 3))
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+
+    def judged(p, found):
+        own, at = F.get(words_of, p["template"]), F.get(key_at, p["template"])
+        end = at + F.get(key_long, p["template"])
+        there = F.filter(F.transform(own, lambda w, i: F.when(F.translate(F.get(found, p["start"] + i), upper, lower) == w, i)), lambda i: i.isNotNull())
+        keys = F.size(F.filter(there, lambda i: (i >= at) & (i < end)))
+        return F.struct(p["template"].alias("template"), p["start"].alias("start"), (keys == end - at).alias("held"), (F.size(there) / F.size(own)).alias("score"))
+
+    # The outer array binds the text's words once for all its places.
+    found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
+    places = F.transform(F.array(found), lambda f: F.transform("places", lambda p: judged(p, f)))
+    return F.transform(F.filter(F.get(places, F.lit(0)), lambda q: q["held"]), lambda q: F.struct(q["template"].alias("template"), q["start"].alias("start"), q["score"].alias("score")))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -113,16 +132,10 @@ def licences(docs: DataFrame) -> DataFrame:
     words that stand in place, 0 without any. Null and empty texts have no words and no labels. Repeated rows stay, each
     with the same result; an empty table gives an empty result.
     """
-    places = written(licence_places(docs))
     n_words = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), n_words.alias("n_words"))
-    keys = F.create_map(*(x for t, (_, _, key) in enumerate([(a, b, b) for a, b in BASE] + list(TEMPLATES)) for x in (F.lit(t), F.lit(_key_pattern(key)))))
-    # Key phrases have common words too: verified on the texts that have a candidate.
-    some = docs.select(F.xxhash64("doc_id", "text").alias("doc"), "text").join(places.where("not base").select("doc", "template").distinct(), "doc")
-    sure = some.where(F.regexp_like("text", F.element_at(keys, F.col("template")))).select("doc", "template").distinct()
-    found = places.where("base").unionByName(places.where("not base").join(sure, ["doc", "template"], "left_semi"))
+    rows = docs.select("doc_id", _doc(), n_words.alias("n_words"))
     base = F.when(F.col("base"), F.col("start"))
-    per = found.groupBy("doc").agg(
+    per = licence_places(docs).groupBy("doc").agg(
         F.count_if(F.col("base")).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label"))))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.collect_set("label"))).alias("labels"), F.max("score").alias("score"),
     )

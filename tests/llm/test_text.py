@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
@@ -141,6 +142,33 @@ def test_licences_key_phrase_alone(spark):
         assert got == {r.doc_id: r.want for r in df.collect()}
 
 
+def licence_brute(text):
+    w = [x.decode("utf-8", "replace") for x in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+    labels, score = set(), 0.0
+    for label, own, key in [(a, b.split(), b.split()) for a, b in licences.BASE] + [(a, b.split(), c.split()) for a, b, c in licences.TEMPLATES]:
+        at = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
+        for i in range(len(w)):
+            if w[i : i + len(key)] == key:
+                labels.add(label)
+                score = max(score, sum(0 <= i - at + j < len(w) and w[i - at + j] == x for j, x in enumerate(own)) / len(own))
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licences_whole(spark):
+    rng = random.Random(3)
+    some = sorted({x for _, own, _ in licences.TEMPLATES for x in own.split()})
+    texts = [None, "", "mit license " * 3000, "CC0 1.0", "cc0 1 1", "cc by 4 0 cc by nc 4 0", "redistribution and use in source or binary forms", "redistribution and use in source and binary forms, with"]
+    for _, own, key in licences.TEMPLATES:
+        texts += [own, key, own.title() + " x " + key.upper(), " ".join(own.split()[1:]), " ".join(key.split()[1:]) + " " + key.split()[0]]
+    for _ in range(300):
+        parts = [rng.choice(licences.TEMPLATES)[rng.choice((1, 2))] if rng.random() < 0.3 else rng.choice(some) for _ in range(rng.randrange(1, 25))]
+        texts.append(rng.choice([" ", ", ", "\n"]).join(parts))
+    rows = [(i if i % 7 else None, t, "x") for i, t in enumerate(texts)] * 2
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, doc string"), documents(spark)):
+        got = sorted((str(r.doc_id), r.labels, round(r.score, 9)) for r in licences.licences(df).collect())
+        assert got == sorted((str(r.doc_id), *licence_brute(r.text)) for r in df.collect())
+
+
 # -------------------------------------------------------------------------------------------------------------- chat
 
 
