@@ -60,8 +60,23 @@ def _doc() -> Column:
     return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1), "doc_id").alias("b")).alias("doc")
 
 
-def licence_places(docs: DataFrame) -> DataFrame:
-    """(doc, template, label, base, start, score) for each place of a template; doc is _doc() of its row.
+def scanned(docs: DataFrame) -> DataFrame:
+    """One written scan of docs: doc_id, doc, n_words, pos and word.
+
+    A row for each of the templates' words in a text, except function words and digits, and one for each text's last word
+    (pos null without any), whatever it is: `last` marks it, and so one row for each of docs.
+    """
+    rare = sorted({w for _, words, _, _ in _templates() for w in words} - COMMON)
+    words = docs.select("doc_id", _doc(), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(1)).alias("words"))
+    words = words.select("doc_id", "doc", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "raw"))
+    low, last = F.lower("raw"), F.col("pos").isNull() | (F.col("pos") + 1 == F.col("n_words"))
+    # Lower case of another length has letters beyond ASCII that only look like the word.
+    word = F.when(low.isin(rare) & (F.octet_length("raw") == F.octet_length(low)), low)
+    return written(words.select("doc_id", "doc", "n_words", "pos", word.alias("word"), last.alias("last")).where("last or word is not null"))
+
+
+def licence_places(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
+    """(doc, template, label, base, start, score) for each place of a template; doc is _doc() of its row; scan is scanned(docs).
 
     One scan takes the words of every whole text and keeps the templates' words with their positions, except function words
     and digits. From those rows come each word's document frequency over all documents, and so its IDF. Of each file's
@@ -74,13 +89,9 @@ def licence_places(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     templates = _templates()
-    rare = sorted({w for _, words, _, _ in templates for w in words} - COMMON)
-    words = docs.select(_doc(), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))).alias("pos", "raw"))
-    low = F.lower("raw")
-    # Lower case of another length has letters beyond ASCII that only look like the word.
-    words = words.select("doc", "pos", low.alias("word")).where(low.isin(rare) & (F.octet_length("raw") == F.octet_length(low)))
-    hits = written(words.distinct())
-    n = docs.count()
+    scan = scanned(docs) if scan is None else scan
+    hits = scan.where("word is not null").select("doc", "pos", "word").distinct()
+    n = scan.where("last").count()
     idf = hits.select("doc", "word").distinct().groupBy("word").agg(F.log((F.lit(n) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
     idf = {r["word"]: r["idf"] for r in idf.collect()}  # one row for each of the templates' words at most
 
@@ -95,6 +106,7 @@ def licence_places(docs: DataFrame) -> DataFrame:
     starts = hits.join(post.where("first"), "word").select("doc", "template", (F.col("pos") - F.col("at")).alias("start"))
     more = starts.join(post, "template").select("doc", (F.col("start") + F.col("at")).alias("pos"), "word", "template", "start", "known")
     agreed = more.join(hits, ["doc", "pos", "word"]).groupBy("doc", "template", "start", "known").count().where("count = known")
+    agreed = written(agreed.select("doc", "template", "start"))
     # As many places as the text has room for.
     per = agreed.groupBy("doc").agg(F.collect_list(F.struct("template", "start")).alias("places"))
     some = docs.select(_doc(), "text").join(per, "doc")
@@ -132,15 +144,14 @@ def licences(docs: DataFrame) -> DataFrame:
     words that stand in place, 0 without any. Null and empty texts have no words and no labels. Repeated rows stay, each
     with the same result; an empty table gives an empty result.
     """
-    n_words = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", _doc(), n_words.alias("n_words"))
+    scan = scanned(docs)
     base = F.when(F.col("base"), F.col("start"))
-    per = licence_places(docs).groupBy("doc").agg(
+    per = licence_places(docs, scan).groupBy("doc").agg(
         F.count_if(F.col("base")).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label"))))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.collect_set("label"))).alias("labels"), F.max("score").alias("score"),
     )
     zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
-    return rows.join(per, "doc", "left").select("doc_id", "n_words", zero("n_base", 0), "first_word", "last_word", zero("base_labels", ""), zero("labels", ""), zero("score", 0.0))
+    return scan.where("last").join(per, "doc", "left").select("doc_id", "n_words", zero("n_base", 0), "first_word", "last_word", zero("base_labels", ""), zero("labels", ""), zero("score", 0.0))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
