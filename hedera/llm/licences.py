@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +85,8 @@ def licence_places(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     licence words only those of highest IDF are looked up: a word is if no indexed word of some key phrase is rarer. At
     position p, as word i of a template, it says that the template may start at p - i. The postings of the key phrase's other
     indexed words are intersected with those starts by relative position. The texts of the starts that are left are read
-    again, and the mandatory key phrase, function words included, has to stand at its place, word by word. score is the share
+    again, and the mandatory key phrase, function words included, has to stand at its place, word by word (base phrases have
+    indexed words only, of which the intersection has seen each). score is the share
     of all words of the template that stand in place; words outside the key phrase count for nothing else. A place may start
     before its text, as the words ahead of the key phrase aren't mandatory.
     """
@@ -107,10 +110,16 @@ def licence_places(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     more = starts.join(post, "template").select("doc", (F.col("start") + F.col("at")).alias("pos"), "word", "template", "start", "known")
     agreed = more.join(hits, ["doc", "pos", "word"]).groupBy("doc", "template", "start", "known").count().where("count = known")
     agreed = written(agreed.select("doc", "template", "start"))
+    # Phrases of indexed words alone that are whole templates are verified already.
+    settled = [t for t, (_, own, _, long) in enumerate(templates) if long == len(own) and not COMMON & set(own)]
+    whole = agreed.where(F.col("template").isin(settled)).select("doc", "template", "start", F.lit(1.0).alias("score"))
     # As many places as the text has room for.
-    per = agreed.groupBy("doc").agg(F.collect_list(F.struct("template", "start")).alias("places"))
-    some = docs.select(_doc(), "text").join(per, "doc")
-    held = some.select("doc", F.explode(_verified(templates)).alias("p")).select("doc", "p.*").distinct()
+    per = agreed.where(~F.col("template").isin(settled)).groupBy("doc").agg(F.collect_list(F.struct("template", "start")).alias("places"))
+    # Only texts that hold a word that was looked up are moved.
+    low = F.lower("text")
+    possible = reduce(or_, (F.contains(low, F.lit(w)) for w in sorted({p[1] for p in posts if p[3] and p[0] not in settled})))
+    some = docs.where(possible).select(_doc(), "text").join(per, "doc")
+    held = whole.union(some.select("doc", F.explode(_verified(templates)).alias("p")).select("doc", "p.*").distinct())
     label = F.get(F.array(*(F.lit(t[0]) for t in templates)), F.col("template"))
     return held.select("doc", "template", label.alias("label"), (F.col("template") < len(BASE)).alias("base"), "start", "score")
 
