@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import math
-import string
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,19 +59,42 @@ def _doc() -> Column:
     return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", F.lit(1), "doc_id").alias("b")).alias("doc")
 
 
+def _runs(own: list[str], at: int, long: int) -> list[tuple]:
+    """(word, position, in the key phrase, function words of the key phrase that stand just ahead, those that stand just behind) of a template's indexed words."""
+    rows, first = [], next(i for i in range(at, at + long) if own[i] not in COMMON)
+    for i, w in enumerate(own):
+        if w in COMMON:
+            continue
+        key = at <= i < at + long
+        end = next((j for j in range(i + 1, at + long) if own[j] not in COMMON), at + long) if key else i + 1
+        rows.append((w, i, key, own[at:i] if i == first else [], own[i + 1 : end]))
+    return rows
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """One written scan of docs: doc_id, doc, n_words, pos and word.
+    """One written scan of docs: doc_id, doc, n_words, pos, word, ahead and behind.
 
     A row for each of the templates' words in a text, except function words and digits, and one for each text's last word
-    (pos null without any), whatever it is: `last` marks it, and so one row for each of docs.
+    (pos null without any), whatever it is: `last` marks it, and so one row for each of docs. ahead and behind are the
+    neighbours of the word, as many as key phrases have function words in a row, "-" for those that aren't function words.
     """
-    rare = sorted({w for _, words, _, _ in _templates() for w in words} - COMMON)
+    index = [r for _, own, at, long in _templates() for r in _runs(own, at, long)]
+    rare, common = sorted({r[0] for r in index}), sorted(COMMON)
     words = docs.select("doc_id", _doc(), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(1)).alias("words"))
-    words = words.select("doc_id", "doc", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "raw"))
-    low, last = F.lower("raw"), F.col("pos").isNull() | (F.col("pos") + 1 == F.col("n_words"))
-    # Lower case of another length has letters beyond ASCII that only look like the word.
-    word = F.when(low.isin(rare) & (F.octet_length("raw") == F.octet_length(low)), low)
-    return written(words.select("doc_id", "doc", "n_words", "pos", word.alias("word"), last.alias("last")).where("last or word is not null"))
+    words = words.select("doc_id", "doc", "words", F.size("words").cast("long").alias("n_words"), F.posexplode_outer("words").alias("pos", "raw"))
+
+    def among(raw, some):
+        # Lower case of another length has letters beyond ASCII that only look like the word.
+        return F.when(F.lower(raw).isin(some) & (F.octet_length(raw) == F.octet_length(F.lower(raw))), F.lower(raw))
+
+    def near(ks):
+        return [F.coalesce(among(F.get("words", F.col("pos") + k), common), F.lit("-")) for k in ks]
+
+    word, last = among(F.col("raw"), rare), F.col("pos").isNull() | (F.col("pos") + 1 == F.col("n_words"))
+    ahead = F.concat_ws(" ", F.lit(""), *near(range(-max(len(r[3]) for r in index), 0)))
+    behind = F.concat_ws(" ", *near(range(1, 1 + max(len(r[4]) for r in index))), F.lit(""))
+    kept = words.where(last | word.isNotNull())
+    return written(kept.select("doc_id", "doc", "n_words", "pos", word.alias("word"), last.alias("last"), ahead.alias("ahead"), behind.alias("behind")))
 
 
 def licence_places(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
@@ -83,64 +103,34 @@ def licence_places(docs: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     One scan takes the words of every whole text and keeps the templates' words with their positions, except function words
     and digits. From those rows come each word's document frequency over all documents, and so its IDF. Of each file's
     licence words only those of highest IDF are looked up: a word is if no indexed word of some key phrase is rarer. At
-    position p, as word i of a template, it says that the template may start at p - i. The postings of the key phrase's other
-    indexed words are intersected with those starts by relative position. The texts of the starts that are left are read
-    again, and the mandatory key phrase, function words included, has to stand at its place, word by word (base phrases have
-    indexed words only, of which the intersection has seen each). score is the share
-    of all words of the template that stand in place; words outside the key phrase count for nothing else. A place may start
-    before its text, as the words ahead of the key phrase aren't mandatory.
+    position p, as word i of a template, it says that the template may start at p - i. The postings of the template's other
+    indexed words are intersected with those starts by relative position. The mandatory key phrase has to stand at its place
+    word by word: its indexed words by their postings, its function words as neighbours of those. score is the share of the
+    template's indexed words that stand in place; words outside the key phrase count for nothing else. A place may start
+    before its text, as the words ahead of the key phrase aren't mandatory. Texts are read once and never moved.
     """
     spark = docs.sparkSession
     templates = _templates()
     scan = scanned(docs) if scan is None else scan
-    hits = scan.where("word is not null").select("doc", "pos", "word").distinct()
+    hits = scan.where("word is not null").select("doc", "pos", "word", "ahead", "behind").distinct()
     n = scan.where("last").count()
     idf = hits.select("doc", "word").distinct().groupBy("word").agg(F.log((F.lit(n) + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
     idf = {r["word"]: r["idf"] for r in idf.collect()}  # one row for each of the templates' words at most
 
     posts = []
-    for t, (_, own, at, long) in enumerate(templates):
-        phrase = [(w, i) for i, w in enumerate(own) if at <= i < at + long and w not in COMMON]
+    for t, (label, own, at, long) in enumerate(templates):
+        runs = _runs(own, at, long)
+        phrase = [r for r in runs if r[2]]
         # A word that no document has is rarest of all: nothing can hold the phrase.
-        first = max(phrase, key=lambda wi: (idf.get(wi[0], math.inf), -wi[1]))
-        posts += [(t, w, i, (w, i) == first, len(phrase)) for w, i in phrase]
-    post = F.broadcast(spark.createDataFrame(posts, "template int, word string, at int, first boolean, known int"))
-    # The index has a row for each word of each key phrase: some hundred rows, whatever the input.
-    starts = hits.join(post.where("first"), "word").select("doc", "template", (F.col("pos") - F.col("at")).alias("start"))
-    more = starts.join(post, "template").select("doc", (F.col("start") + F.col("at")).alias("pos"), "word", "template", "start", "known")
-    agreed = more.join(hits, ["doc", "pos", "word"]).groupBy("doc", "template", "start", "known").count().where("count = known")
-    agreed = written(agreed.select("doc", "template", "start"))
-    # Phrases of indexed words alone that are whole templates are verified already.
-    settled = [t for t, (_, own, _, long) in enumerate(templates) if long == len(own) and not COMMON & set(own)]
-    whole = agreed.where(F.col("template").isin(settled)).select("doc", "template", "start", F.lit(1.0).alias("score"))
-    # As many places as the text has room for.
-    per = agreed.where(~F.col("template").isin(settled)).groupBy("doc").agg(F.collect_list(F.struct("template", "start")).alias("places"))
-    # Only texts that hold a word that was looked up are moved.
-    low = F.lower("text")
-    possible = reduce(or_, (F.contains(low, F.lit(w)) for w in sorted({p[1] for p in posts if p[3] and p[0] not in settled})))
-    some = docs.where(possible).select(_doc(), "text").join(per, "doc")
-    held = whole.union(some.select("doc", F.explode(_verified(templates)).alias("p")).select("doc", "p.*").distinct())
-    label = F.get(F.array(*(F.lit(t[0]) for t in templates)), F.col("template"))
-    return held.select("doc", "template", label.alias("label"), (F.col("template") < len(BASE)).alias("base"), "start", "score")
-
-
-def _verified(templates: list[tuple]) -> Column:
-    """Those of `places` whose key phrase stands in `text`, with their scores."""
-    words_of = F.array(*(F.array(*map(F.lit, t[1])) for t in templates))
-    key_at, key_long = (F.array(*(F.lit(t[k]) for t in templates)) for k in (2, 3))
-    upper, lower = string.ascii_uppercase, string.ascii_lowercase
-
-    def judged(p, found):
-        own, at = F.get(words_of, p["template"]), F.get(key_at, p["template"])
-        end = at + F.get(key_long, p["template"])
-        there = F.filter(F.transform(own, lambda w, i: F.when(F.translate(F.get(found, p["start"] + i), upper, lower) == w, i)), lambda i: i.isNotNull())
-        keys = F.size(F.filter(there, lambda i: (i >= at) & (i < end)))
-        return F.struct(p["template"].alias("template"), p["start"].alias("start"), (keys == end - at).alias("held"), (F.size(there) / F.size(own)).alias("score"))
-
-    # The outer array binds the text's words once for all its places.
-    found = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
-    places = F.transform(F.array(found), lambda f: F.transform("places", lambda p: judged(p, f)))
-    return F.transform(F.filter(F.get(places, F.lit(0)), lambda q: q["held"]), lambda q: F.struct(q["template"].alias("template"), q["start"].alias("start"), q["score"].alias("score")))
+        first = max(phrase, key=lambda r: (idf.get(r[0], math.inf), -r[1]))
+        posts += [(t, label, t < len(BASE), w, i, key, r == first, "".join(f" {x}" for x in ahead), "".join(f"{x} " for x in behind), len(phrase), len(runs)) for r in runs for w, i, key, ahead, behind in [r]]
+    # The index has a row for each indexed word of each template: some hundred rows, whatever the input.
+    post = F.broadcast(spark.createDataFrame(posts, "template int, label string, base boolean, word string, at int, key boolean, first boolean, want_ahead string, want_behind string, keys int, known int"))
+    starts = hits.select("doc", "pos", "word").join(post.where("first").select("template", "word", "at"), "word").select("doc", "template", (F.col("pos") - F.col("at")).alias("start"))
+    more = starts.join(post, "template").withColumn("pos", F.col("start") + F.col("at"))
+    right = F.col("key") & F.endswith("ahead", F.col("want_ahead")) & F.startswith("behind", F.col("want_behind"))
+    agreed = more.join(hits, ["doc", "pos", "word"]).groupBy("doc", "template", "label", "base", "start", "keys", "known").agg(F.count_if(right).alias("right"), F.count(F.lit(1)).alias("there"))
+    return agreed.where("right = keys").select("doc", "template", "label", "base", "start", (F.col("there") / F.col("known")).alias("score"))
 
 
 def licences(docs: DataFrame) -> DataFrame:
@@ -150,7 +140,7 @@ def licences(docs: DataFrame) -> DataFrame:
     A-Z lower-cased. n_base counts the places of the base phrases, first_word and last_word are their smallest and largest
     start (null without any). labels has the base labels and those of templates whose key phrase, common words included, is
     in the text; both are sorted and comma-joined, empty without any. score is the largest share of a found template's
-    words that stand in place, 0 without any. Null and empty texts have no words and no labels. Repeated rows stay, each
+    indexed words that stand in place, 0 without any. Null and empty texts have no words and no labels. Repeated rows stay, each
     with the same result; an empty table gives an empty result.
     """
     scan = scanned(docs)

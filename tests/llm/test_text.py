@@ -150,7 +150,8 @@ def licence_brute(text):
         for i in range(len(w)):
             if w[i : i + len(key)] == key:
                 labels.add(label)
-                score = max(score, sum(0 <= i - at + j < len(w) and w[i - at + j] == x for j, x in enumerate(own)) / len(own))
+                rare = [(j, x) for j, x in enumerate(own) if x not in licences.COMMON]
+                score = max(score, sum(0 <= i - at + j < len(w) and w[i - at + j] == x for j, x in rare) / len(rare))
     return ",".join(sorted(labels)), round(score, 9)
 
 
