@@ -47,15 +47,22 @@ def line_deduped(docs: DataFrame, least_sites: int = 5, deviation: float = 0.1,
     stats = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("site", deviation).alias("est"), F.min("site").alias("lo"), F.max("site").alias("hi"), F.min(first).alias("first"))
     several = written(stats.where("n > 1 and lo <> hi"))
     sure = F.col("est") >= least_sites if least_sites <= 8 else F.lit(False)
-    doubtful = several.where(~sure).select(*key)
-    exact = lines.select(*key, "site").join(doubtful, key, "left_semi").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least_sites)
-    spread = written(several.where(sure).select(*key, "n", "first").unionByName(several.join(exact.select(*key), key).select(*key, "n", "first")))
-
     total = several.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * hot_share > max(total, 1)
-    known = lines.join(F.broadcast(spread.where(hot).select(*key, F.col("first").alias("hot"))), key, "left")
-    # A hot line's rows need no second join: they get a key of their own each, which no cold line has.
-    known = known.withColumn("k", F.when(F.col("hot").isNull(), F.col("line")).otherwise(F.xxhash64("doc", "pos"))).withColumn("k2", F.when(F.col("hot").isNull(), F.col("line2")))
+
+    def dealt(marks):
+        """lines, left joined with a broadcast of hot lines' marks; k and k2 are the keys of cold lines, and for each hot row a key of its own that no cold line has."""
+        got = lines.join(F.broadcast(marks), key, "left")
+        return got.withColumn("k", F.when(F.col("hot").isNull(), F.col("line")).otherwise(F.xxhash64("doc", "pos"))).withColumn("k2", F.when(F.col("hot").isNull(), F.col("line2")))
+
+    doubtful = several.where(~sure)
+    cold = doubtful.where(~hot).select(F.col("line").alias("k"), F.col("line2").alias("k2"), F.lit(True).alias("cold"))
+    asked = dealt(doubtful.where(hot).select(*key, F.lit(True).alias("hot"))).join(cold, ["k", "k2"], "left").where("hot or cold")
+    # Sites of a line are made distinct before its rows meet.
+    exact = asked.select(*key, "site").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= least_sites)
+    spread = written(several.where(sure).select(*key, "n", "first").unionByName(several.join(exact.select(*key), key).select(*key, "n", "first")))
+
+    known = dealt(spread.where(hot).select(*key, F.col("first").alias("hot")))
     cold = spread.where(~hot).select(F.col("line").alias("k"), F.col("line2").alias("k2"), "first")
     gone = known.join(cold, ["k", "k2"], "left").select("doc", "pos", F.coalesce("hot", "first").alias("first")).where("first is not null")
     gone = gone.where((F.col("doc") != F.col("first.doc")) | (F.col("pos") != F.col("first.pos")))
