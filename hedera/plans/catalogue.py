@@ -148,7 +148,22 @@ def ols_fe2_cluster(spark, sf_dir):
     return short(spark, linear.olshdfe(items(spark, sf_dir), y="l_extendedprice", x=["l_quantity"], absorb=["l_suppkey", "l_partkey"], cluster="l_suppkey"))
 
 
-@query()
+def _sweeps3(n: int) -> str:
+    """Alternating projections on three effects, unrolled."""
+    out = [f"v0 AS (SELECT l_suppkey AS g, l_partkey AS h, month AS t, l_extendedprice AS y, l_quantity AS x, l_discount AS z FROM ({_ITEM}) i)"]
+    for i in range(3):
+        out.append(f"v{i + 1} AS (SELECT * FROM v{i} WHERE " + " AND ".join(f"{c} IN (SELECT {c} FROM v{i} GROUP BY {c} HAVING count(*) > 1)" for c in "ght") + ")")
+    out.append("s0 AS MATERIALIZED (SELECT * FROM v3)")
+    for i in range(n):
+        part = "ght"[i % 3]
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT g, h, t, " + ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {part}) AS {c}" for c in "yxz") + f" FROM s{i})")
+    return "WITH " + ",\n".join(out)
+
+
+@query(_sweeps3(45) + """, q AS (SELECT sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy, count(*) AS n, count(DISTINCT g) + count(DISTINCT h) + count(DISTINCT t) - 2 AS k FROM s45),
+b AS (SELECT *, xx * zz - xz * xz AS d, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM q),
+r AS (SELECT any_value(b1) AS b1, any_value(b2) AS b2, sum(((zz * x - xz * z) / d * (y - b1 * x - b2 * z)) ^ 2) * any_value(n) / (any_value(n) - 2 - any_value(k)) AS v1, sum(((xx * z - xz * x) / d * (y - b1 * x - b2 * z)) ^ 2) * any_value(n) / (any_value(n) - 2 - any_value(k)) AS v2 FROM s45, b)
+SELECT 'l_quantity' AS variable, round(b1, 4) AS estimate, round(sqrt(v1), 4) AS std_error FROM r UNION ALL SELECT 'l_discount', round(b2, 4), round(sqrt(v2), 4) FROM r""")
 def ols_fe3_pairwise(spark, sf_dir):
     return short(spark, linear.olshdfe(items(spark, sf_dir), y="l_extendedprice", x=["l_quantity", "l_discount"], absorb=["l_suppkey", "l_partkey", "month"], vce="robust"))
 
@@ -274,22 +289,44 @@ def iv_diagnostics(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(v), d)) for k, v, d in rows], "name string, value double")
 
 
-@query()
+#: The k-class with LIML's kappa (the smaller root for the two products' pencil), less `fuller` over the residual degrees; m has the residuals' parts.
+def _kclass_sql(fuller: float, meat: str) -> str:
+    return _IV_SQL + f""", w AS (SELECT *, yy - r1*ay - r2*by_ AS m11, ey - xpy AS m12, ee - xpx AS m22 FROM f),
+r AS (SELECT *, m11*m22 - m12*m12 AS d2, yy*m22 + ee*m11 - 2*ey*m12 AS d1, yy*ee - ey*ey AS d0 FROM w),
+h AS (SELECT *, (d1 - sqrt(d1*d1 - 4*d2*d0)) / (2*d2) - {fuller} / (n - 2) AS kappa FROM r),
+t AS (SELECT *, ((1 - kappa)*ey + kappa*xpy) / ((1 - kappa)*ee + kappa*xpx) AS beta, (1 - kappa)*ee + kappa*xpx AS lhs FROM h)
+SELECT 'l_endog' AS variable, round(any_value(t.beta), 4) AS estimate, round(sqrt({meat}), 4) AS std_error FROM m, t"""
+
+
+@query(_kclass_sql(0.0, "sum(((p1 * a + p2 * b) * (y - t.beta * e)) ^ 2) * any_value(n) / (any_value(n) - 1 - any_value(k)) / any_value(lhs) ^ 2"))
 def iv_liml(spark, sf_dir):
     return short(spark, _iv(spark, sf_dir, estimator="liml", vce="robust", diagnostics=False))
 
 
-@query()
+@query(_kclass_sql(1.0, "sum((y - t.beta * e) ^ 2) / (any_value(n) - 1 - any_value(k)) / any_value(lhs)"))
 def iv_fuller(spark, sf_dir):
     return short(spark, _iv(spark, sf_dir, estimator="liml", fuller=1.0, diagnostics=False))
 
 
-@query()
+#: Scores by month of the first step (2SLS) give the weights, those of the second the covariance.
+_GMM_SQL = _IV_SQL.replace("SELECT l_suppkey AS g,", "SELECT year(l_shipdate) * 12 + month(l_shipdate) AS month, l_suppkey AS g,").replace("m AS (SELECT g,", "m AS (SELECT month, g,") + """, c1 AS (SELECT sum(a * (y - beta * e)) AS sa, sum(b * (y - beta * e)) AS sb FROM m, s GROUP BY month),
+w AS (SELECT sum(sa * sa) AS saa, sum(sa * sb) AS sab, sum(sb * sb) AS sbb FROM c1),
+h AS (SELECT s.*, (sbb*ae - sab*be) AS ha, (saa*be - sab*ae) AS hb FROM s, w),
+t AS (SELECT *, (ha*ay + hb*by_) / (ha*ae + hb*be) AS beta2, ha*ae + hb*be AS lhs FROM h),
+c2 AS (SELECT sum((ha * a + hb * b) * (y - beta2 * e)) AS sc, any_value(lhs) AS lhs, any_value(beta2) AS beta2, any_value(n) AS n, any_value(k) AS k FROM m, t GROUP BY month)
+SELECT 'l_endog' AS variable, round(any_value(beta2), 4) AS estimate, round(sqrt(sum(sc * sc) * (any_value(n) - 1) / (any_value(n) - 1 - any_value(k)) * count(*) / (count(*) - 1.0)) / abs(any_value(lhs)), 4) AS std_error FROM c2"""
+
+
+@query(_GMM_SQL)
 def iv_gmm2s(spark, sf_dir):
     return short(spark, _iv(spark, sf_dir, estimator="gmm2s", cluster="month", diagnostics=False))
 
 
-@query()
+@query(_IV_SQL + """, u AS (SELECT a, b, e, e - p1 * a - p2 * b AS v FROM m, s),
+c AS (SELECT sum(a*a*e*e) AS l11, sum(a*b*e*e) AS l12, sum(b*b*e*e) AS l22, sum(a*a*v*v) AS w11, sum(a*b*v*v) AS w12, sum(b*b*v*v) AS w22 FROM u),
+t AS (SELECT (l22*ae*ae - 2*l12*ae*be + l11*be*be) / (l11*l22 - l12*l12) AS lm, (w22*ae*ae - 2*w12*ae*be + w11*be*be) / (w11*w22 - w12*w12) AS wald, n, k FROM s, c)
+SELECT 'lm' AS name, round(lm, 3) AS value FROM t UNION ALL SELECT 'wald', round(wald, 3) FROM t UNION ALL SELECT 'wald_f', round(wald / 2 * (n - 2 - k) / n, 3) FROM t
+UNION ALL SELECT 'sw_f', round(wald / 2 * (n - 2 - k) / n, 3) FROM t UNION ALL SELECT 'size_10', 19.93""")
 def iv_rank_tests(spark, sf_dir):
     r = _iv(spark, sf_dir, vce="robust")
     r.release()
@@ -324,7 +361,25 @@ def ppml_fe1(spark, sf_dir):
     return short(spark, poisson.ppmlhdfe(_counts(spark, sf_dir), y="n", x=["v"], absorb=["event_type"]), 6)
 
 
-@query()
+def _irls2_sql(steps: int = 10, sweeps: int = 10) -> str:
+    """Steps with two effects: within each, working outcome and regressor are swept by either effect in turn."""
+    out = ["""c AS (SELECT user_id AS u, event_type AS g, count(*)::DOUBLE AS y, avg(value) AS x FROM events GROUP BY 1, 2),
+c1 AS (SELECT * FROM c WHERE u IN (SELECT u FROM c GROUP BY u HAVING count(*) > 1) AND g IN (SELECT g FROM c GROUP BY g HAVING count(*) > 1)),
+s0 AS MATERIALIZED (SELECT *, ln(greatest(0.5 * (y + avg(y) OVER ()), 0.05 * y, 1e-3)) AS eta FROM c1)"""]
+    for i in range(steps):
+        out.append(f"m{i}_0 AS MATERIALIZED (SELECT u, g, y, x AS x0, exp(eta) AS mu, eta - 1 + y / exp(eta) AS r0, eta - 1 + y / exp(eta) AS r, x FROM s{i})")
+        for k in range(sweeps):
+            part = "ug"[k % 2]
+            out.append(f"m{i}_{k + 1} AS MATERIALIZED (SELECT u, g, y, x0, mu, r0, r - sum(mu * r) OVER p / sum(mu) OVER p AS r, x - sum(mu * x) OVER p / sum(mu) OVER p AS x FROM m{i}_{k} WINDOW p AS (PARTITION BY {part}))")
+        out.append(f"""b{i} AS MATERIALIZED (SELECT sum(mu * x * r) / sum(mu * x * x) AS b FROM m{i}_{sweeps}),
+s{i + 1} AS MATERIALIZED (SELECT u, g, y, x0 AS x, r0 - (r - b * x) AS eta FROM m{i}_{sweeps}, b{i})""")
+    at = f"m{steps - 1}_{sweeps}"
+    return "WITH " + ",\n".join(out) + f""",
+v AS (SELECT sum(x * (y - mu)) AS s, sum(mu * x * x) AS a, count(*) AS n, any_value(b) AS b FROM {at}, b{steps - 1} GROUP BY u)
+SELECT 'v' AS variable, round(any_value(b), 6) AS estimate, round(sqrt(sum(s * s) * CLUSTERS) / sum(a), 6) AS std_error FROM v"""
+
+
+@query(_irls2_sql().replace("CLUSTERS", "(sum(n) - 1) / (sum(n) - 1 - (SELECT count(DISTINCT g) FROM c1)) * count(*) / (count(*) - 1.0)"))
 def ppml_fe2(spark, sf_dir):
     return short(spark, poisson.ppmlhdfe(_counts(spark, sf_dir), y="n", x=["v"], absorb=["user_id", "event_type"], cluster="user_id"), 6)
 
@@ -374,7 +429,18 @@ def fe_recover_oneway(spark, sf_dir):
     return effects.recover(r).select("term", "level", F.round("coef", 4).alias("coef"), "mass")
 
 
-@query()
+def _recovery_sql(n: int = 60) -> str:
+    """Cells' means, then each effect's mean given the other's, in turn."""
+    out = ["c AS (SELECT c_nationkey AS g, c_mktsegment AS h, avg(c_acctbal) AS y, count(*) AS n FROM customer GROUP BY 1, 2)", "a0 AS (SELECT g, h, y, n, 0.0::DOUBLE AS b FROM c)"]
+    for i in range(n):
+        out.append(f"""d{i} AS MATERIALIZED (SELECT g, h, y, n, sum(n * (y - b)) OVER (PARTITION BY g) / sum(n) OVER (PARTITION BY g) AS a FROM a{i}),
+a{i + 1} AS MATERIALIZED (SELECT g, h, y, n, a, sum(n * (y - a)) OVER (PARTITION BY h) / sum(n) OVER (PARTITION BY h) AS b FROM d{i})""")
+    return "WITH " + ",\n".join(out) + f""", z AS (SELECT avg(b) AS shift FROM (SELECT h, any_value(b) AS b FROM a{n} GROUP BY h))
+SELECT 'c_nationkey' AS term, g::VARCHAR AS level, round(any_value(a) + any_value(shift), 4) AS coef, 0::BIGINT AS component, true AS identified FROM a{n}, z GROUP BY g
+UNION ALL SELECT 'c_mktsegment', h, round(any_value(b) - any_value(shift), 4), 0::BIGINT, true FROM a{n}, z GROUP BY h"""
+
+
+@query(_recovery_sql())
 def fe_recover_twoway(spark, sf_dir):
     r = linear.olshdfe(table(spark, sf_dir, "customer"), y="c_acctbal", absorb=["c_nationkey", "c_mktsegment"])
     return effects.recover(r).select("term", "level", F.round("coef", 4).alias("coef"), "component", "identified")
