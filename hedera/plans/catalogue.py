@@ -251,7 +251,19 @@ def dof_pairwise(spark, sf_dir):
     return named(spark, [("components", structure.n_components(p.frame, "g0", "g1")), ("df_absorbed", p.dof().df_absorbed)])
 
 
-@query()
+def _linked(name: str, edges: str) -> str:
+    """Whether one component holds all levels a of edges (a, b): what is reached from the smallest of them."""
+    return f"""{name}_e AS (SELECT DISTINCT {edges} FROM v),
+{name}_r AS (SELECT min(a) AS a FROM {name}_e UNION SELECT f.a FROM {name}_r r JOIN {name}_e e ON e.a = r.a JOIN {name}_e f ON f.b = e.b),
+{name} AS (SELECT (SELECT count(*) FROM {name}_r) = (SELECT count(DISTINCT a) FROM {name}_e) AS ok)"""
+
+
+#: Where all pairs of effects are connected, each but the first loses one. If flags that share a supplier's month connect all
+#: flags, whatever sums to zero in all cells has one value for all flags, so that the rank, too, is short by two.
+@query(f"WITH RECURSIVE v AS (SELECT l_suppkey AS g, l_returnflag AS h, month AS t FROM ({_ITEM}) i), " + ", ".join(_linked(n, e) for n, e in (("gh", "h AS a, g AS b"), ("gt", "t AS a, g AS b"), ("ht", "h AS a, t AS b"), ("hc", "h AS a, (g, t) AS b"))) + """,
+k AS (SELECT (count(DISTINCT g) + count(DISTINCT h) + count(DISTINCT t) - 2)::DOUBLE AS k FROM v)
+SELECT 'exact' AS name, CASE WHEN gt.ok AND hc.ok THEN k END AS value FROM k, gt, hc UNION ALL SELECT 'pairwise', CASE WHEN gh.ok AND gt.ok AND ht.ok THEN k END FROM k, gh, gt, ht
+UNION ALL SELECT 'firstpair', CASE WHEN gh.ok THEN k END FROM k, gh UNION ALL SELECT 'none', k FROM k""")
 def dof_exact(spark, sf_dir):
     p = prepare(items(spark, sf_dir), y="l_extendedprice", roles={"x": []}, absorb=["l_suppkey", "l_returnflag", "month"])
     return named(spark, [(m, p.dof(m).df_absorbed) for m in ("exact", "pairwise", "firstpair", "none")])
@@ -480,7 +492,19 @@ def session_ols(spark, sf_dir):
     return short(spark, s.fit(spec))
 
 
-@query()
+#: Without the hypothesis' effect, residuals are y within; all signs of the three clusters are draws.
+@query(within_sql() + """, c AS (SELECT sum(s) AS s FROM e GROUP BY l_returnflag), o AS (SELECT any_value(b) AS b, any_value(a) AS a, any_value(n)::DOUBLE AS n, any_value(k) AS k FROM e),
+l AS (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS j FROM e GROUP BY l_returnflag),
+d AS (SELECT range AS d FROM range(8)),
+r AS (SELECT d.d, g, l_returnflag, x, y * (((d.d >> l.j::BIGINT) & 1) * 2 - 1) AS y FROM e JOIN l USING (l_returnflag), d),
+i AS (SELECT d, l_returnflag, x, y - avg(y) OVER (PARTITION BY d, g) AS y FROM r),
+j AS (SELECT d, sum(x * y) / sum(x * x) AS b FROM i GROUP BY d),
+q AS (SELECT d, any_value(b) AS b, sum(x * (y - b * x)) AS s FROM i JOIN j USING (d) GROUP BY d, l_returnflag),
+f AS (SELECT (n - 1) / (n - 1 - k) * 3 / 2 * a * a AS f FROM o),
+t AS (SELECT o.b / sqrt(f * (SELECT sum(s * s) FROM c)) AS t FROM o, f),
+w AS (SELECT d, any_value(b) / sqrt(any_value(f) * sum(s * s)) AS t FROM q, f GROUP BY d)
+SELECT 'statistic' AS name, round(t, 5) AS value FROM t UNION ALL SELECT 'pvalue', round(avg(CASE WHEN abs(w.t) >= abs(t.t) - 1e-9 THEN 1.0 ELSE 0.0 END), 5) FROM w, t
+UNION ALL SELECT 'clusters', count(*)::DOUBLE FROM l UNION ALL SELECT 'draws', count(*)::DOUBLE FROM w""")
 def wild_cluster(spark, sf_dir):
     r = _ols1(spark, sf_dir, cluster="l_returnflag")
     t = resampling.wild_cluster_test(r, param="l_quantity", reps=999)
@@ -501,7 +525,15 @@ def ols_map_solver(spark, sf_dir):
     return short(spark, r)
 
 
-@query()
+def _separation_sql(steps: int = 30) -> str:
+    """Rows with v above 60 have y = 0 and z > 0 and go; z is zero on all others and is dropped."""
+    fit = _irls_sql("0.0", "1.0", steps).partition("\nSELECT 'v'")[0]
+    fit = fit.replace("avg(value) AS x, 0.0 AS z FROM events GROUP BY user_id, event_type)", "avg(day(ts)) AS x, avg(day(ts)) AS z, avg(value) AS v FROM events GROUP BY user_id, event_type HAVING avg(value) <= 60)")
+    return fit + f"""
+SELECT 'nobs' AS name, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'separated', count(*)::DOUBLE FROM (SELECT 1 FROM events GROUP BY user_id, event_type HAVING avg(value) > 60) UNION ALL SELECT 'd', round(b, 4) FROM b{steps - 1}"""
+
+
+@query(_separation_sql())
 def ppml_separation(spark, sf_dir):
     """A regressor that is positive only where the outcome is zero."""
     d = _counts(spark, sf_dir).withColumn("y", F.when(F.col("v") > 60, 0.0).otherwise(F.col("n"))).withColumn("z", F.when(F.col("v") > 60, F.col("v") - 60).otherwise(0.0))
