@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ("ols_fe1_cluster", "ols_driscoll_kraay", "wls_pweight", "iv_diagnostics", "singletons", "factor_interaction", "fe_recover_oneway", "preflight")
+NAMES = ("ols_fe1_cluster", "ols_driscoll_kraay", "wls_pweight", "iv_diagnostics", "singletons", "factor_interaction", "fe_recover_oneway", "preflight", "iv_liml", "iv_gmm2s", "iv_rank_tests", "wild_cluster", "fe_recover_twoway", "dof_exact")
 
 
 def test_every_sql_has_a_query():
