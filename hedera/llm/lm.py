@@ -10,37 +10,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered_words, mix64, table, texts, written
+from .common import lowered_words, mix64, slices, table, texts, written
 
 _U = np.uint64
 ORDERS, BUCKETS, LENGTHS = 5, 25, 8
-#: The end of a text is the empty word. A word is coded as its bytes and a blank, which no word contains.
+#: The end of a text is the empty word. A text is coded as its words' bytes, each with a blank, which no word contains.
 END = b""
+#: What stands before the first word.
+START = b"\0\0\0\0"
 
 
 # ---------------------------------------------------------------------------------------------------------------- bits
 
 
 class Bits:
-    """The bits of words, most significant first, with a slot in each order's table: contexts are the 1 to 4 bytes before, and the whole word so far."""
+    """The bits of words in their texts, most significant first, with a slot in each order's table.
 
-    def __init__(self, words: list[bytes], bits: int):
+    Contexts are the 1 to 4 bytes before, over words' starts too, and the whole word so far. tails: the four bytes that stand
+    before each word in its text (START, where there is none), the last one lowest.
+    """
+
+    def __init__(self, words: list[bytes], bits: int, tails: np.ndarray | None = None):
         self.lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.bytes = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         self.of = np.repeat(np.arange(len(words)), self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.at = np.arange(len(self.bytes)) - starts[self.of]
         b = self.bytes.astype(np.uint64)
-        before = []
+        before = np.zeros_like(b)
         for d in range(1, 5):
-            prev = np.zeros_like(b)
-            prev[d:] = b[:-d] + _U(1)
-            prev[self.at < d] = 0
-            before.append(prev)
-        contexts, h = [], np.minimum(self.at, 3).astype(np.uint64)
-        for prev in before:
-            h = mix64(h * _U(0x9E3779B97F4A7C15) + prev)
-            contexts.append(h)
+            before[d:] |= b[:-d] << _U(8 * (d - 1))
+        first = np.flatnonzero(self.at < 4)
+        own = self.at[first].astype(np.uint64) * _U(8)
+        tail = np.zeros(len(words), np.uint64) if tails is None else tails.astype(np.uint64)
+        before[first] = (before[first] & ((_U(1) << own) - _U(1))) | ((tail[self.of[first]] << own) & _U(0xFFFFFFFF))
+        contexts = [mix64((before & _U((1 << 8 * k) - 1)) | _U(k << 32)) for k in range(1, 5)]
         # The word so far: sums of byte * odd**place from the word's start, brought to place 0.
         power = np.multiply.accumulate(np.r_[_U(1), np.full(len(b), 0x9E3779B97F4A7C15 | 1, np.uint64)])
         inverse = np.multiply.accumulate(np.r_[_U(1), np.full(len(b), pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64), np.uint64)])
@@ -51,33 +55,47 @@ class Bits:
 
     def __iter__(self):
         """(bits of one place in all bytes, slots of each order)"""
+        whole = self.bytes.astype(np.uint64)
         for m in range(8):
-            node = ((1 << m) | (self.bytes.astype(np.int64) >> (8 - m))).astype(np.uint64)
-            y = (self.bytes >> (7 - m)) & 1
-            yield y, [(mix64(c + node * _U(0xD6E8FEB86659FD93 + 2 * k)) >> self.shift).astype(np.int64) for k, c in enumerate(self.contexts)]
+            node = (_U(1 << m) | (whole >> _U(8 - m))) * _U(0xD6E8FEB86659FD93)
+            yield (self.bytes >> (7 - m)) & 1, [(((c ^ node) * _U(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64) for c in self.contexts]
+
+
+def places(keys: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Words and the four bytes before them, of keys that are one after the other."""
+    return [k[4:] for k in keys], np.frombuffer(b"".join([k[:4] for k in keys]), ">u4")
+
+
+def in_order(words: list[bytes]) -> list[bytes]:
+    """A text's tokens, each behind the four bytes that stand before it."""
+    out, tail = [], START
+    for w in words:
+        key = tail + w
+        out.append(key)
+        tail = (key + b" ")[-4:]
+    return out
 
 
 def _chunks(batches, size: int = 40_000):
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             part = batch.slice(i, size)
-            yield part, part.column("word").to_pylist()
+            yield part.column("c").to_numpy().astype(np.float64), *places(part.column("key").to_pylist())
 
 
 def _tables(bits: int, block: int):
     """A task's counts of zeros and ones in each slot, in blocks of slots; blocks without any count are left out."""
 
     def run(batches):
-        zeros, ones = (np.zeros(ORDERS << bits, np.float32) for _ in range(2))
-        for part, words in _chunks(batches):
-            b = Bits(words, bits)
-            c = part.column("c").to_numpy().astype(np.float64)[b.of]
+        counts = np.zeros((ORDERS, 2 << bits), np.float32)
+        for c, words, tails in _chunks(batches, 100_000):
+            b = Bits(words, bits, tails)
+            weight = c[b.of]
             for y, slots in b:
-                up, down = y == 1, y == 0
+                side = y.astype(np.int64) << bits
                 for k, s in enumerate(slots):
-                    own = slice(k << bits, (k + 1) << bits)
-                    ones[own] += np.bincount(s[up], c[up], 1 << bits).astype(np.float32)
-                    zeros[own] += np.bincount(s[down], c[down], 1 << bits).astype(np.float32)
+                    counts[k] += np.bincount(s + side, weight, 2 << bits)
+        zeros, ones = (counts[:, own].ravel() for own in (slice(0, 1 << bits), slice(1 << bits, None)))
         for i in range(0, len(ones), block):
             z, o = zeros[i : i + block], ones[i : i + block]
             if z.any() or o.any():
@@ -110,15 +128,16 @@ class Model:
         """
         x = np.empty((len(slots), len(at)))
         for k, s in enumerate(slots):
-            n0, n1 = self.zeros[(k << self.bits) + s].astype(np.float64), self.ones[(k << self.bits) + s].astype(np.float64)
+            own_slots = slice(k << self.bits, (k + 1) << self.bits)
+            n0, n1 = self.zeros[own_slots].take(s), self.ones[own_slots].take(s)
             if own is not None:
-                n0, n1 = np.maximum(n0 - own * (y == 0), 0), np.maximum(n1 - own * (y == 1), 0)
-            x[k] = np.log((n1 + 0.02) / (n0 + 0.02))
+                n0, n1 = np.maximum(n0 - own * (y == 0), np.float32(0)), np.maximum(n1 - own * (y == 1), np.float32(0))
+            x[k] = np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
         sure = np.searchsorted([0.5, 3.5, 50.0], n0 + n1)
         return x, np.minimum(at, LENGTHS - 1) * 4 + sure
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -14, 14)
+        return np.clip(sum(w.take(gate) * v for w, v in zip(np.ascontiguousarray(self.weights.T), x, strict=True)), -14, 14)
 
     def bucket(self, t: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(t, -12, 12) + 12)).astype(np.int64)
@@ -131,12 +150,12 @@ class Model:
         refined = (n[:, 1] + p) / (n[:, 0] + n[:, 1] + 1)
         return np.clip(0.5 * p + 0.5 * refined, 1e-7, 1 - 1e-7)
 
-    def learn(self, words: list[bytes], c: np.ndarray, rate: float) -> None:
+    def learn(self, words: list[bytes], c: np.ndarray, rate: float, tails: np.ndarray | None = None) -> None:
         """One online step on a batch: weights move along the gradient, and the refinement counts what came of the predictions."""
-        b = Bits(words, self.bits)
+        b = Bits(words, self.bits, tails)
         weight = c[b.of]
         for y, slots in b:
-            x, gate = self.inputs(slots, b.at, np.ones(len(y)), y)
+            x, gate = self.inputs(slots, b.at, np.ones(len(y), np.float32), y)
             t = self.mixed(x, gate)
             error = (y - 1 / (1 + np.exp(-t))) * weight
             size = np.bincount(gate, weight, self.gates) + 1e-9
@@ -146,12 +165,31 @@ class Model:
             for bit in (0, 1):
                 self.seen[:, :, bit] += np.bincount(place, weight * (y == bit), self.gates * BUCKETS).reshape(self.gates, BUCKETS)
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        b = Bits(words, self.bits)
+    def log10(self, words: list[bytes], tails: np.ndarray | None = None) -> np.ndarray:
+        return Scorer(self).log10(words, tails)
+
+
+class Scorer:
+    """What scoring needs of a model: stretched predictions by slot, how much the longest context has seen, weights, refinement."""
+
+    def __init__(self, m: Model):
+        self.bits, self.model = m.bits, Model.__new__(Model)
+        self.stretched = np.log((m.ones + np.float32(0.02)) / (m.zeros + np.float32(0.02))).reshape(ORDERS, -1)
+        last = slice((ORDERS - 1) << m.bits, None)
+        self.sure = np.searchsorted([0.5, 3.5, 50.0], m.zeros[last] + m.ones[last]).astype(np.uint8)
+        self.model.weights, self.model.seen = m.weights, m.seen
+
+    def log10(self, words: list[bytes], tails: np.ndarray | None = None, size: int = 4_000) -> np.ndarray:
+        """Each word's log10 where it stands: the sum over its bits."""
         total = np.zeros(len(words))
-        for y, slots in b:
-            p = self.probability(*self.inputs(slots, b.at))
-            total += np.bincount(b.of, np.log10(np.where(y == 1, p, 1 - p)), len(words))
+        for i in range(0, len(words), size):
+            own = slice(i, i + size)
+            b = Bits(words[own], self.bits, None if tails is None else tails[own])
+            place, sums = np.minimum(b.at, LENGTHS - 1) * 4, np.ones(len(b.at))
+            for y, slots in b:
+                p = self.model.probability([t.take(s) for t, s in zip(self.stretched, slots, strict=True)], place + self.sure.take(slots[-1]))
+                sums *= np.where(y == 1, p, 1 - p)  # 8 bits: 1e-56 at least
+            total[own] = np.bincount(b.of, np.log10(sums), len(words[own]))
         return total
 
 
@@ -159,9 +197,8 @@ def _learner(model, rate: float, batch: int):
     def run(batches):
         m, mass, words = model.value, 0.0, 0
         m = _copy(m)
-        for part, ws in _chunks(batches, batch):
-            c = part.column("c").to_numpy().astype(np.float64)
-            m.learn(ws, c, rate / math.sqrt(1 + words / (20 * batch)))
+        for c, ws, tails in _chunks(batches, batch):
+            m.learn(ws, c, rate / math.sqrt(1 + words / (20 * batch)), tails)
             mass += c.sum()
             words += len(ws)
         if words:
@@ -177,15 +214,16 @@ def _copy(m: Model) -> Model:
 
 
 def fitted(counts: DataFrame, n_bytes: int, bits_most: int = 20, rate: float = 0.02, batch: int = 2_000) -> Model:
-    """A model of words from their counts (word, c): tables of all words, then weights and refinement online over all words.
+    """A model of texts from counts (key, c) of their words behind the four bytes before: tables, then weights and refinement online over all.
 
-    Each task of the second pass goes through its words in batches, from the same start; weights are averaged by the number
-    of occurrences they saw, refinement counts are added. Tables grow with the vocabulary up to 2**bits_most slots an order.
+    Each task of the second pass goes through its keys in batches, from the same start; weights are averaged by the number
+    of occurrences they saw, refinement counts are added. Tables grow with the keys' bytes up to 2**bits_most slots an order.
     """
     spark = counts.sparkSession
     bits = min(bits_most, max(14, math.ceil(math.log2(n_bytes + 1))))
     block = 1 << 14
-    merged = counts.mapInArrow(_tables(bits, block), "block long, zeros binary, ones binary").groupBy("block").applyInArrow(_summed, "block long, zeros binary, ones binary")
+    # Each task's tables are of one size, so there are a few tasks a core, however many keys.
+    merged = counts.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(_tables(bits, block), "block long, zeros binary, ones binary").groupBy("block").applyInArrow(_summed, "block long, zeros binary, ones binary")
     zeros, ones = (np.zeros(ORDERS << bits, np.float32) for _ in range(2))
     # At most ORDERS * 2**bits_most slots, whatever the input.
     for r in written(merged).toLocalIterator():
@@ -193,7 +231,7 @@ def fitted(counts: DataFrame, n_bytes: int, bits_most: int = 20, rate: float = 0
         zeros[own], ones[own] = np.frombuffer(r["zeros"], np.float32), np.frombuffer(r["ones"], np.float32)
     model = Model(bits, zeros, ones)
     shared = spark.sparkContext.broadcast(model)
-    # Learning goes through the words in an order that doesn't follow the alphabet.
+    # Learning goes through the keys in an order that doesn't follow the alphabet.
     steps = counts.mapInArrow(_learner(shared, rate, batch), "mass double, weights binary, seen binary")
     # A row for each task, made at once by all and added up one by one.
     mass, weights = 0.0, np.zeros_like(model.weights)
@@ -211,51 +249,32 @@ def fitted(counts: DataFrame, n_bytes: int, bits_most: int = 20, rate: float = 0
 
 
 def _counts(batches):
-    """(word, c) of the rows that train and, with c = 0, words of the others; summed per batch of rows."""
-    for batch in batches:
+    """(key, c) of the tokens of the texts, each behind the four bytes before it; summed per batch of some MB."""
+    for batch in slices(batches, "text", 8 << 20):
         c: Counter = Counter()
-        for text, held in zip(texts(batch, "text"), batch.column("held_out").to_pylist(), strict=True):
-            words = lowered_words(text)
-            if held:
-                for w in words:
-                    c.setdefault(w, 0)
-                c.setdefault(END, 0)
-            else:
-                c.update(words)
-                c[END] += 1
+        for text in texts(batch, "text"):
+            c.update(in_order([*lowered_words(text), END]))
         items = list(c.items())
         for i in range(0, len(items), 100_000):
             part = items[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["word", "c"])
-
-
-def _word_scores(model, n: int, escape: float):
-    """Each word's log10: its share of the n training tokens, and with the weight of an escape its bits."""
-
-    def run(batches):
-        for part, words in _chunks(batches):
-            bits, share = model.value.log10(words), part.column("c").to_numpy() / max(n, 1)
-            lp = np.logaddexp(np.log((1 - escape) * np.maximum(share, 1e-300)), bits * math.log(10) + math.log(escape)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("c"), pa.array(lp)], ["word", "c", "lp"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["key", "c"])
 
 
-def in_context(order: np.ndarray, lp: np.ndarray, cache: float = 0.3) -> tuple[float, np.ndarray]:
+def in_context(order: np.ndarray, lp: np.ndarray, cache: float = 0.3, here: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """log10 probability of a text's tokens, and counts of tokens.
 
-    order: the token at each place, numbered by first occurrence; lp: the word model's log10 for each token. Two predictors
-    are mixed: the word model, and the word model with the text so far (a token's share of the places before) at a weight of
+    order: the token at each place, numbered by first occurrence; here: the model's log10 at each place (lp: for each token,
+    if it is the same everywhere). Two predictors are mixed: the model, and the model with the text so far (a token's share of the places before) at a weight of
     cache. Their log odds are the sum of what they gained on the text so far, so the mixture adapts to texts that repeat
     themselves.
     """
     n = len(order)
     by = np.argsort(order, kind="stable")
-    counts = np.bincount(order, minlength=len(lp))
+    counts = np.bincount(order, minlength=0 if lp is None else len(lp))
     r = np.empty(n)
     r[by] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-    p = lp[order]
-    # The share of the text so far, relative to the word model's probability.
+    p = lp[order] if here is None else here
+    # The share of the text so far, relative to the model's probability.
     ratio = r / np.maximum(np.arange(n), 1) / 10.0**p
     ratio = np.where(np.arange(n) > 0, (1 - cache) + cache * ratio, 1.0)
     odds = np.r_[0.0, np.cumsum(np.log(ratio))[:-1]] * 0.1
@@ -264,53 +283,57 @@ def in_context(order: np.ndarray, lp: np.ndarray, cache: float = 0.3) -> tuple[f
 
 
 def _rare(frequent):
-    """A text's distinct words that aren't frequent, each with its number by first occurrence."""
+    """A text's distinct words that aren't frequent, each with how often it occurs there."""
 
     def run(batches):
         known = frequent.value
         for batch in batches:
-            numbers, words, rows = [], [], []
+            times, words, rows = [], [], []
             for text in texts(batch, "text"):
                 before = len(words)
-                for i, w in enumerate(dict.fromkeys([*lowered_words(text), END])):
+                for w, k in Counter([*lowered_words(text), END]).items():
                     if w not in known:
-                        numbers.append(i)
+                        times.append(k)
                         words.append(w)
                 rows.append(len(words) - before)
             ids = np.repeat(batch.column("doc").to_numpy(), rows)
             for i in range(0, len(words), 200_000):
                 s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(numbers[s], pa.int32()), pa.array(words[s], pa.binary())], ["doc", "number", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(times[s], pa.int32()), pa.array(words[s], pa.binary())], ["doc", "k", "word"])
 
     return run
 
 
-def _scores(frequent, totals, keep: list[str]):
-    """Each text's sums; rare: number, c and lp of its words that aren't frequent."""
+def _scores(scorer, frequent, keep: list[str], most: int = 400_000):
+    """Each text's score, and what its frequent words add to the sums of the base."""
 
     def run(batches):
-        known, (n, v) = frequent.value, totals
-        floor = math.log10(n + v + 1)
-        for batch in batches:
-            rare, at = batch.column("rare"), 0
-            sizes = rare.value_lengths().fill_null(0).to_numpy()
-            numbers, c_rare, lp_rare = (x.to_numpy(zero_copy_only=False) for x in rare.flatten().flatten())
-            out = []
-            for text, size in zip(texts(batch, "text"), sizes.tolist(), strict=True):
+        known, model = frequent.value, scorer.value
+        index, lps = {}, np.zeros(0)
+        for batch in slices(batches, "text", 4 << 20):
+            # Words that stand behind the same four bytes have the same score: those of the texts before are kept.
+            if len(index) > most:
+                index, lps = {}, np.zeros(0)
+            out, new, rows = [], [], []
+            for text in texts(batch, "text"):
                 words = [*lowered_words(text), END]
+                keys = in_order(words)
+                for key in keys:
+                    if key not in index:
+                        index[key] = len(index)
+                        new.append(key)
+                rows.append((words, np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))))
+            lps = np.r_[lps, model.log10(*places(new))]
+            for words, at in rows:
                 number = dict.fromkeys(words)
-                found = [known.get(w, (0, math.nan)) for w in number]
+                c = np.array([known.get(w, 0) for w in number], np.float64)
                 number = dict(zip(number, range(len(number)), strict=True))
                 order = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                c, lp = np.array(found, np.float64).T
-                own = slice(at, at + size)
-                at += size
-                c[numbers[own]], lp[numbers[own]] = c_rare[own], lp_rare[own]
-                score, k = in_context(order, lp)
-                out.append((len(words), int(k[c > 0].sum()), float(k @ np.log10(c + 1)) - len(words) * floor, score))
+                score, k = in_context(order, None, here=lps[at])
+                out.append((len(words), int(k[c > 0].sum()), float(k @ np.log10(c + 1)), score))
             n_tokens, n_known, base, score = zip(*out, strict=True) if out else ((), (), (), ())
             sums = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *sums], [*keep, "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *sums], [*keep, "n_tokens", "k0", "b0", "score"])
 
     return run
 
@@ -320,41 +343,40 @@ def scored(docs: DataFrame, frequent_most: int = 1 << 17, frequent_bytes: int =
 
     docs: doc_id, text and a boolean held_out; other columns are ignored. Texts are lower-cased in A-Z and split at ASCII
     white space; each has one end token. base_score is the add-one unigram log10 probability under the counts of texts that
-    are not held out. score is the log10 probability under the mixing model: a word's bytes are predicted bit by bit from
-    five hashed contexts, whose log odds are combined with weights gated by place and confidence and refined by what came
-    of such predictions. A word's probability is that, at the weight of an escape (the share of tokens seen once), and its
-    share of the training tokens; in a text, it is mixed with the text so far at a weight that adapts. bits_per_byte is that in bits over the UTF-8 bytes of the text, at least one. Null and empty texts
-    have the end token only. Rows that are equal in doc_id and text have equal results; an empty table gives an empty
-    result. Without training texts all counts are 0.
-
-    Words are counted over all texts; the model is fitted on all counts of training words. Up to frequent_most words of
-    highest count and at most frequent_bytes bytes travel to the tasks (some MB, whatever the input); the other words meet
-    their scores in a join, where none is hot: all have less than 1/frequent_most of the tokens, but for overlong ones. A
-    text goes through in order when all its words have their own scores, so frequent_most changes speed, not results.
+    are not held out. score is the log10 probability under the mixing model: a text's bytes (its words, each with a blank)
+    are predicted in order, bit by bit, from five hashed contexts, the 1 to 4 bytes before (over words' starts too) and the
+    word so far. Their log odds are combined with weights gated by place and confidence and refined by what came of such
+    predictions; a word's probability is then mixed with the text so far at a weight that adapts. bits_per_byte is that in
+    bits over the UTF-8 bytes of the text, at least one. Null and empty texts have the end token only. Rows that are equal
+    in doc_id and text have equal results; an empty table gives an empty result. Without training texts all counts are 0.
+
+    What comes of a word depends on it and the four bytes before it, so counts of these keys hold all that tables and weights
+    are learned from, and a task scores equal keys once. For the base, up to frequent_most words of highest count and at most
+    frequent_bytes bytes travel to the tasks (some MB, whatever the input); the others meet their counts in a join, where
+    none is hot: all have less than 1/frequent_most of the tokens, but for overlong ones. Texts are not moved.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("doc"))
-    words = written(docs.mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
-    train = words.where("c > 0")
-    n, v, n_bytes, once = train.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0)), F.count_if(F.col("c") == 1)).first()
-    escape = (once + 1) / (n + 2)  # the share of tokens that are new, as Good and Turing estimate it
-    model = spark.sparkContext.broadcast(fitted(train, n_bytes, bits_most))
-    known = written(words.mapInArrow(_word_scores(model, n, escape), "word binary, c long, lp double"))
-    short = F.octet_length("word") <= frequent_bytes
-    top = known.where(short & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(frequent_most)
-    frequent = {bytes(r["word"]): (r["c"], r["lp"]) for r in top.toLocalIterator()}
-    frequent = spark.sparkContext.broadcast(frequent)
-
-    rare = docs.select("doc", "text").mapInArrow(_rare(frequent), "doc long, number int, word binary")
+    keys = written(docs.where("not held_out").select("text").mapInArrow(_counts, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c")))
+    words = written(keys.groupBy(F.expr("substring(key, 5)").alias("word")).agg(F.sum("c").alias("c")))
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_bytes = keys.agg(F.coalesce(F.sum(F.octet_length("key") - 3), F.lit(0))).first()[0]
+    scorer = spark.sparkContext.broadcast(Scorer(fitted(keys, n_bytes, bits_most)))
+    top = words.where(F.octet_length("word") <= frequent_bytes).orderBy(F.desc("c"), "word").limit(frequent_most)
+    frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in top.toLocalIterator()})
+
+    rare = docs.select("doc", "text").mapInArrow(_rare(frequent), "doc long, k int, word binary")
     # Rows that are equal in doc_id and text give the same lines again: one of each is kept.
-    rare = rare.groupBy("doc", "number").agg(F.first("word").alias("word")).join(known, "word")
-    rare = rare.groupBy("doc").agg(F.collect_list(F.struct("number", "c", "lp")).alias("rare"))
-    whole = docs.select("doc_id", "held_out", "doc", "text", F.greatest(F.octet_length("text"), F.lit(1)).alias("size")).join(rare, "doc", "left")
-    keep = ["doc_id", "held_out", "size"]
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, size int, n_tokens long, n_known long, base_score double, score double"
-    out = whole.select(*keep, "text", "rare").mapInArrow(_scores(frequent, (n, v), keep), schema)
+    rare = rare.groupBy("doc", "word").agg(F.first("k").alias("k")).join(words, "word")
+    rare = rare.groupBy("doc").agg(F.sum("k").alias("k1"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("b1"))
+    whole = docs.select("doc_id", "held_out", "doc", "text", F.greatest(F.octet_length("text"), F.lit(1)).alias("size"))
+    keep = ["doc_id", "held_out", "doc", "size"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, doc long, size int, n_tokens long, k0 long, b0 double, score double"
+    out = whole.mapInArrow(_scores(scorer, frequent, keep), schema).join(rare, "doc", "left")
     bits = -F.col("score") * math.log2(10) / F.coalesce("size", F.lit(1))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    known = F.col("k0") + F.coalesce("k1", F.lit(0))
+    base = F.col("b0") + F.coalesce("b1", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

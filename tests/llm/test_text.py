@@ -235,6 +235,26 @@ def test_lm_bits_are_probabilities():
         assert (slots[4][0:2] == slots[4][9:11]).all()
 
 
+def test_lm_reads_texts_in_order(spark):
+    """What stands before a word changes its score, and slots are those of the text's bytes, found by a plain loop."""
+    pairs = [("red", "apple"), ("green", "pear"), ("old", "plum")]
+    rows = [(i, " ".join(pairs[i % 3]), False) for i in range(300)] + [(1000, "red apple", True), (1001, "red pear", True), (1002, "old apple", True), (1003, "old plum", True)]
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
+    assert got[1000] > got[1001] + 0.2 and got[1003] > got[1002] + 0.2
+    text = [b"a", b"bcd", b"a", b"bcd", b"xbcd", b""]
+    assert lm.in_order(text)[:3] == [b"\0\0\0\0a", b"\0\0a bcd", b"bcd a"]
+    stream = lm.START + b" ".join(text) + b" "
+    own, tails = lm.places(lm.in_order(text))
+    b = lm.Bits(own, 20, tails)
+    assert bytes(b.bytes) == stream[4:]
+    for m, (_, slots) in enumerate(b):
+        for k in range(4):
+            of = {}
+            for i in range(4, len(stream)):
+                of.setdefault((stream[i - k - 1 : i], stream[i] >> (8 - m)), set()).add(int(slots[k][i - 4]))
+            assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
+
+
 def test_lm_prefers_repeats():
     lp = np.array([-2.0, -9.0])
     once, _ = lm.in_context(np.array([0, 1]), lp)
