@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -88,6 +90,20 @@ def slices(batches, name: str, most: int = 2 << 20):
             start = stop
 
 
+def lean(run):
+    """run, for mapInArrow; what a task has used goes back to the system when it ends. A worker serves tasks of many stages, and
+    memory that it keeps after one stage adds to what the next one needs."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, lowered_words, mix64, slices, table, texts, written
+from .common import dropped, lean, lowered_words, mix64, slices, table, texts, written
 
 _U = np.uint64
 
@@ -419,8 +419,10 @@ def _buckets(pre: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of prefix rows: (token, id, hub, of, salted), the sets that share a token with others, and (id, hub) pairs to compare first.
 
     One shuffle by token serves all of it. Buckets break where sizes do: sets of sizes too far apart can't link. Each bucket
-    has as its hub the set with the most common tokens. Tokens with very many sets are dealt in parts by the salt; each part
-    has a hub, and the parts' hubs meet the token's.
+    has as its hub the set with the most common tokens. Near copies share many tokens; buckets that hold the same sets
+    ask the same questions, so they are named by what they hold and their rows kept once (buckets whose names clash are
+    one bucket: more is compared, nothing lost). Tokens with very many sets are dealt in parts by the salt; each part has
+    a hub, and the parts' hubs meet the token's.
     """
     pre = pre.repartition("token", "salt").groupBy("token", "salt", "n", "id").agg(F.max("hot").alias("hot"))
     by_size = Window.partitionBy("token", "salt").orderBy("n", "id")
@@ -429,8 +431,9 @@ def _buckets(pre: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     at = Window.partitionBy("token", "salt", "run")
     held = pre.withColumn("most", F.max(F.struct("hot", "id")).over(at)).withColumn("of", F.count(F.lit(1)).over(at))
     salted = F.col("salt") > 0
-    bucket = F.when(salted, F.xxhash64("token")).otherwise(F.xxhash64("token", "run"))
-    held = written(held.where((F.col("of") > 1) | salted).select(bucket.alias("token"), "id", F.col("most.id").alias("hub"), F.col("most.hot").alias("hot"), F.col("of").cast("int").alias("of"), salted.alias("salted")))
+    held = held.withColumn("what", F.bit_xor(F.xxhash64("id")).over(at)).where((F.col("of") > 1) | salted)
+    bucket = F.when(salted, F.xxhash64("token")).otherwise(F.xxhash64("what", "of"))
+    held = written(held.select(bucket.alias("token"), "id", F.col("most.id").alias("hub"), F.col("most.hot").alias("hot"), F.col("of").cast("int").alias("of"), salted.alias("salted")).distinct())
     tops = held.where("salted").select("token", "hub", "hot").distinct()
     top = tops.groupBy("token").agg(F.max(F.struct("hot", "hub")).alias("top"))
     pairs = held.select("id", "hub").union(tops.join(top, "token").select(F.col("hub").alias("id"), F.col("top.hub").alias("hub")))
@@ -441,7 +444,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3,
     """A row per document: doc_id, row (a hash of doc_id and text), n_shingles, component_id, as near_classes has them, and comp (the class itself, null without shingles)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    scan = written(docs.mapInArrow(_scan(size, bits), "doc_id long, row long, n long, id long, b long, packed binary"))
+    scan = written(docs.mapInArrow(lean(_scan(size, bits)), "doc_id long, row long, n long, id long, b long, packed binary"))
     rows = scan.where("packed is null").drop("packed")
     counts = np.zeros(1 << bits, np.uint64)
     # 2**bits numbers in all, whatever the input; tasks' parts are summed in two steps.
@@ -449,7 +452,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3,
     for r in parts.groupBy("doc_id").applyInArrow(_summed, kind).toLocalIterator():
         counts[r[0] * 65536 : r[0] * 65536 + 65536] = _unpacked(r[2])
     heats = spark.sparkContext.broadcast(Heats(counts.astype(np.float64), bits, quota))
-    pre = docs.mapInArrow(_prefixes(size, percent, heats), "token long, salt int, n int, id long, hot int")
+    pre = docs.mapInArrow(lean(_prefixes(size, percent, heats)), "token long, salt int, n int, id long, hot int")
     shared, pairs = _buckets(pre, percent)
 
     firsts = rows.where("n > 0").select("id", "row")
@@ -458,13 +461,13 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, orders: int = 3,
         """A map of documents that have the sets of ids, one document each."""
         return spark.sparkContext.broadcast(_mapped(firsts.join(ids.distinct(), "id").groupBy("id").agg(F.min("row").alias("row"))))
 
-    sketches = docs.mapInArrow(_sketches(size, percent, orders, heats, marked(shared.select("id"))), "id long, n long, sketch binary")
+    sketches = docs.mapInArrow(lean(_sketches(size, percent, orders, heats, marked(shared.select("id")))), "id long, n long, sketch binary")
     sketches = written(sketches.dropDuplicates(["id"]))
 
     def verified(work: DataFrame, merge: bool) -> DataFrame:
         """Links of the blocks in work: blk, id, is_left, comp. What is left of them is merged where blocks share sets."""
         alive = written(work.join(sketches, "id").groupBy("blk").applyInArrow(_survivors(percent, orders), "blk long, id long, is_left boolean, comp long").distinct())
-        sets = written(docs.mapInArrow(_sets(size, marked(alive.select("id"))), "id long, n long, s array<long>"))
+        sets = written(docs.mapInArrow(lean(_sets(size, marked(alive.select("id")))), "id long, n long, s array<long>"))
         full = (_merged(alive, block) if merge else alive).join(sets, "id")
         links = written(full.groupBy("blk").applyInArrow(_verifier(percent), "u long, v long"))
         dropped(sets)

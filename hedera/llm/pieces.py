@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table
+from .common import lean, mix64, table
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -338,14 +338,14 @@ def encoded(docs: DataFrame, model: bytes, column: str = "text", rows: int = 256
     """
     keep = [c for c in docs.columns if c != "ids"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_encode(shared, keep, column, rows), _schema(docs, keep, "ids array<int>"))
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(lean(_encode(shared, keep, column, rows)), _schema(docs, keep, "ids array<int>"))
 
 
 def decoded(docs: DataFrame, model: bytes, column: str = "ids", to: str = "decoded") -> DataFrame:
     """docs with the text of ids, null for null, in place of a column of that name; the other columns stay."""
     keep = [c for c in docs.columns if c != to]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_decode(shared, keep, column, to), _schema(docs, keep, f"`{to}` string"))
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(lean(_decode(shared, keep, column, to)), _schema(docs, keep, f"`{to}` string"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

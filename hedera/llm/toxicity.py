@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import lean, slices, table, written
 
 #: What a character may stand for (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
@@ -350,20 +350,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
     rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
     n_all = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n_all.get(1, 0), sum(n for k, n in n_all.items() if k != 1)
-    grams = docs.select("text").mapInArrow(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most_grams)
+    grams = docs.select("text").mapInArrow(lean(_trigrams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(most_grams)
     chars = CharModel({r["gram"]: r["n"] for r in grams.collect()})
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
     if not n_toxic or not n_clean:
         return Classifier(chars, Lexicon({}), np.array([prior, 0.0, 0.0, 0.0]))
 
     shared = spark.sparkContext.broadcast(chars.three)
-    rows = written(rows.mapInArrow(_restored(_Lazy(shared)), "text string, toxic int"))
+    rows = written(rows.mapInArrow(lean(_restored(_Lazy(shared))), "text string, toxic int"))
     # Stems of at most most_rows texts.
-    counts = rows.mapInArrow(_stem_counts(None), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"))
+    counts = rows.mapInArrow(lean(_stem_counts(None)), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"))
     counts = written(counts.where("t > 2"))
     tested = counts.count()
     wanted = spark.sparkContext.broadcast({r["stem"] for r in counts.where("t >= 4").select("stem").collect()})
-    found = rows.mapInArrow(_stem_counts(wanted), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    found = rows.mapInArrow(lean(_stem_counts(wanted)), "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
 
     share, least = n_toxic / (n_toxic + n_clean), 2 * math.log(max(tested, 10)) + 4
     odds, order = {}, []
@@ -377,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_grams:
         if not shorter or o > max(shorter) + 1.0:
             odds[s] = o
     lexicon = spark.sparkContext.broadcast(Lexicon(odds))
-    got = rows.mapInArrow(_features(lexicon), "toxic int, x array<double>").collect()  # most_rows rows at most
+    got = rows.mapInArrow(lean(_features(lexicon)), "toxic int, x array<double>").collect()  # most_rows rows at most
     x, y = np.array([r["x"] for r in got]), np.array([float(r["toxic"] == 1) for r in got])
     return Classifier(chars, Lexicon(odds), logistic(x, y))
 
@@ -411,7 +411,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     keep = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(_score(shared, keep), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(lean(_score(shared, keep)), schema)
 
 
 def _learnable(doc_id):

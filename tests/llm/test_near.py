@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from hedera.llm.near import Heats, _keys, _least, _lengths, _width, _Words, components, near_classes, parity, possible, sets_of
+from hedera.llm.common import lean
+from hedera.llm.near import Heats, _buckets, _keys, _least, _lengths, _width, _Words, components, near_classes, parity, possible, sets_of
 
 from .helpers import DOC, awkward, near_brute, rng_rows
 
@@ -45,6 +46,34 @@ def test_hot_tokens_are_dealt_in_parts(spark):
     assert got == near_brute(rows, 3, 90)
 
 
+def test_equal_buckets_are_kept_once(spark):
+    """Sets that share many tokens make one bucket, not one for each token."""
+    pre = [(token, 0, 100, i, 0) for token in range(50) for i in (1, 2, 3)] + [(99, 0, 100, i, 0) for i in (2, 3)] + [(77, 1 + i % 2, 100, i, 0) for i in range(4)]
+    shared, pairs = _buckets(spark.createDataFrame(pre, "token long, salt int, n int, id long, hot int"), 90)
+    rows = [tuple(r) for r in shared.collect()]
+    assert sorted((r[1], r[2], r[4]) for r in rows if not r[5]) == [(1, 3, 3), (2, 3, 2), (2, 3, 3), (3, 3, 2), (3, 3, 3)]
+    assert sorted(r[1] for r in rows if r[5]) == [0, 1, 2, 3] and len({r[0] for r in rows}) == 3
+    assert {(1, 3), (2, 3)} <= {tuple(r) for r in pairs.collect()}
+
+
+def test_a_task_gives_its_memory_back():
+    """What a worker holds after a task isn't added to the next task's needs."""
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Pss_Anon")) >> 10
+
+    def run(batches):
+        for b in batches:
+            # A small block after each large one keeps the heap from shrinking by itself.
+            blocks = [(bytearray(100_000), kept.append(bytearray(600))) for _ in range(2000)]
+            yield b + len(blocks)
+
+    kept, before = [], held()
+    assert list(lean(run)([1])) == [2001]
+    assert held() - before < 60
+
+
 def test_clashing_columns(spark):
     rows = rng_rows(8, 40)
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, row long, id string, comp int")
