@@ -27,10 +27,11 @@ class Bits:
     """The bits of words in their texts, most significant first, with a slot in each order's table.
 
     Contexts are the 1 to 4 bytes before, over words' starts too, and the whole word so far. tails: the four bytes that stand
-    before each word in its text (START, where there is none), the last one lowest.
+    before each word in its text (START, where there is none), the last one lowest. heads: words of which only the first four
+    bytes count; of the others only those behind them do (without heads all bytes of all words).
     """
 
-    def __init__(self, words: list[bytes], bits: int, tails: np.ndarray | None = None):
+    def __init__(self, words: list[bytes], bits: int, tails: np.ndarray | None = None, heads: np.ndarray | None = None):
         self.lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.bytes = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         self.of = np.repeat(np.arange(len(words)), self.lengths)
@@ -52,6 +53,9 @@ class Bits:
         place = np.arange(len(b)) - self.at
         contexts.append(mix64((total[:-1] - total[place]) * inverse[place] + self.at.astype(np.uint64)))
         self.contexts, self.shift = contexts, _U(64 - bits)
+        if heads is not None:
+            own = np.flatnonzero((self.at < 4) == heads[self.of])
+            self.bytes, self.of, self.at, self.contexts = self.bytes[own], self.of[own], self.at[own], [c[own] for c in contexts]
 
     def __iter__(self):
         """(bits of one place in all bytes, slots of each order)"""
@@ -66,6 +70,20 @@ def places(keys: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [k[4:] for k in keys], np.frombuffer(b"".join([k[:4] for k in keys]), ">u4")
 
 
+def heads_of(words: list[bytes]) -> list[bytes]:
+    """Of each of a text's tokens the four bytes before it and its first four.
+
+    What comes of a token's first four bytes (with the blank, if it is shorter) depends on its head only; from then on the four
+    bytes before lie within the word, and what comes depends on the word only. So equal heads are learned from and scored
+    once, and so are the rests of equal words.
+    """
+    stream, out, at = START + b" ".join(words) + b" ", [], 0
+    for n in map(len, words):
+        out.append(stream[at : at + 8] if n > 3 else stream[at : at + 4 + n])
+        at += n + 1
+    return out
+
+
 def in_order(words: list[bytes]) -> list[bytes]:
     """A text's tokens, each behind the four bytes that stand before it."""
     out, tail = [], START
@@ -80,7 +98,8 @@ def _chunks(batches, size: int = 40_000):
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             part = batch.slice(i, size)
-            yield part.column("c").to_numpy().astype(np.float64), *places(part.column("key").to_pylist())
+            heads, keys = part.column("head").to_numpy(zero_copy_only=False), part.column("key").to_pylist()
+            yield part.column("c").to_numpy().astype(np.float64), *places([k if h else START + k for h, k in zip(heads.tolist(), keys, strict=True)]), heads
 
 
 def _tables(bits: int, block: int):
@@ -88,8 +107,8 @@ def _tables(bits: int, block: int):
 
     def run(batches):
         counts = np.zeros((ORDERS, 2 << bits), np.float32)
-        for c, words, tails in _chunks(batches, 100_000):
-            b = Bits(words, bits, tails)
+        for c, words, tails, heads in _chunks(batches, 100_000):
+            b = Bits(words, bits, tails, heads)
             weight = c[b.of]
             for y, slots in b:
                 side = y.astype(np.int64) << bits
@@ -150,9 +169,9 @@ class Model:
         refined = (n[:, 1] + p) / (n[:, 0] + n[:, 1] + 1)
         return np.clip(0.5 * p + 0.5 * refined, 1e-7, 1 - 1e-7)
 
-    def learn(self, words: list[bytes], c: np.ndarray, rate: float, tails: np.ndarray | None = None) -> None:
+    def learn(self, words: list[bytes], c: np.ndarray, rate: float, tails: np.ndarray | None = None, heads: np.ndarray | None = None) -> None:
         """One online step on a batch: weights move along the gradient, and the refinement counts what came of the predictions."""
-        b = Bits(words, self.bits, tails)
+        b = Bits(words, self.bits, tails, heads)
         weight = c[b.of]
         for y, slots in b:
             x, gate = self.inputs(slots, b.at, np.ones(len(y), np.float32), y)
@@ -165,8 +184,8 @@ class Model:
             for bit in (0, 1):
                 self.seen[:, :, bit] += np.bincount(place, weight * (y == bit), self.gates * BUCKETS).reshape(self.gates, BUCKETS)
 
-    def log10(self, words: list[bytes], tails: np.ndarray | None = None) -> np.ndarray:
-        return Scorer(self).log10(words, tails)
+    def log10(self, words: list[bytes], tails: np.ndarray | None = None, heads: np.ndarray | None = None) -> np.ndarray:
+        return Scorer(self).log10(words, tails, heads)
 
 
 class Scorer:
@@ -179,12 +198,12 @@ class Scorer:
         self.sure = np.searchsorted([0.5, 3.5, 50.0], m.zeros[last] + m.ones[last]).astype(np.uint8)
         self.model.weights, self.model.seen = m.weights, m.seen
 
-    def log10(self, words: list[bytes], tails: np.ndarray | None = None, size: int = 4_000) -> np.ndarray:
-        """Each word's log10 where it stands: the sum over its bits."""
+    def log10(self, words: list[bytes], tails: np.ndarray | None = None, heads: np.ndarray | None = None, size: int = 4_000) -> np.ndarray:
+        """Each word's log10 where it stands: the sum over its bits, or those of its first four bytes or of the others (see Bits)."""
         total = np.zeros(len(words))
         for i in range(0, len(words), size):
             own = slice(i, i + size)
-            b = Bits(words[own], self.bits, None if tails is None else tails[own])
+            b = Bits(words[own], self.bits, *(None if x is None else x[own] for x in (tails, heads)))
             place, sums = np.minimum(b.at, LENGTHS - 1) * 4, np.ones(len(b.at))
             for y, slots in b:
                 p = self.model.probability([t.take(s) for t, s in zip(self.stretched, slots, strict=True)], place + self.sure.take(slots[-1]))
@@ -197,8 +216,8 @@ def _learner(model, rate: float, batch: int):
     def run(batches):
         m, mass, words = model.value, 0.0, 0
         m = _copy(m)
-        for c, ws, tails in _chunks(batches, batch):
-            m.learn(ws, c, rate / math.sqrt(1 + words / (20 * batch)), tails)
+        for c, ws, tails, heads in _chunks(batches, batch):
+            m.learn(ws, c, rate / math.sqrt(1 + words / (20 * batch)), tails, heads)
             mass += c.sum()
             words += len(ws)
         if words:
@@ -214,12 +233,13 @@ def _copy(m: Model) -> Model:
 
 
 def fitted(counts: DataFrame, n_bytes: int, bits_most: int = 20, rate: float = 0.02, batch: int = 2_000) -> Model:
-    """A model of texts from counts (key, c) of their words behind the four bytes before: tables, then weights and refinement online over all.
+    """A model of texts from counts (head, key, c) of their tokens' heads and of their words: tables, then weights and refinement online over all.
 
     Each task of the second pass goes through its keys in batches, from the same start; weights are averaged by the number
     of occurrences they saw, refinement counts are added. Tables grow with the keys' bytes up to 2**bits_most slots an order.
     """
     spark = counts.sparkSession
+    counts = counts.where("head or octet_length(key) > 3")
     bits = min(bits_most, max(14, math.ceil(math.log2(n_bytes + 1))))
     block = 1 << 14
     # Each task's tables are of one size, so there are a few tasks a core, however many keys.
@@ -249,21 +269,36 @@ def fitted(counts: DataFrame, n_bytes: int, bits_most: int = 20, rate: float = 0
 
 
 def _counts(batches):
-    """(key, c) of the tokens of the texts, each behind the four bytes before it; summed per batch of some MB."""
+    """(head, key, c) of the heads and words of the texts' tokens; summed per batch of some MB."""
     for batch in slices(batches, "text", 8 << 20):
-        c: Counter = Counter()
+        heads, own = Counter(), Counter()
         for text in texts(batch, "text"):
-            c.update(in_order([*lowered_words(text), END]))
-        items = list(c.items())
-        for i in range(0, len(items), 100_000):
-            part = items[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["key", "c"])
+            words = [*lowered_words(text), END]
+            heads.update(heads_of(words))
+            own.update(words)
+        for head, counted in ((True, heads), (False, own)):
+            items = list(counted.items())
+            for i in range(0, len(items), 100_000):
+                part = items[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([head] * len(part)), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["head", "key", "c"])
+
+
+class _Numbers(dict):
+    """Numbers of keys in the order they come; `new` has those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
 
 
 def in_context(order: np.ndarray, lp: np.ndarray, cache: float = 0.3, here: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """log10 probability of a text's tokens, and counts of tokens.
 
-    order: the token at each place, numbered by first occurrence; here: the model's log10 at each place (lp: for each token,
+    order: the token at each place, numbered from 0; here: the model's log10 at each place (lp: for each token,
     if it is the same everywhere). Two predictors are mixed: the model, and the model with the text so far (a token's share of the places before) at a weight of
     cache. Their log odds are the sum of what they gained on the text so far, so the mixture adapts to texts that repeat
     themselves.
@@ -309,28 +344,26 @@ def _scores(scorer, frequent, keep: list[str], most: int = 400_000):
 
     def run(batches):
         known, model = frequent.value, scorer.value
-        index, lps = {}, np.zeros(0)
+        heads, own = _Numbers(), _Numbers()
+        of_heads, of_rests, c = (np.zeros(0) for _ in range(3))
         for batch in slices(batches, "text", 4 << 20):
-            # Words that stand behind the same four bytes have the same score: those of the texts before are kept.
-            if len(index) > most:
-                index, lps = {}, np.zeros(0)
-            out, new, rows = [], [], []
+            # Equal heads and equal words have the same scores: those of the texts before are kept.
+            if len(heads) + len(own) > most:
+                heads, own = _Numbers(), _Numbers()
+                of_heads, of_rests, c = (np.zeros(0) for _ in range(3))
+            out, rows = [], []
             for text in texts(batch, "text"):
                 words = [*lowered_words(text), END]
-                keys = in_order(words)
-                for key in keys:
-                    if key not in index:
-                        index[key] = len(index)
-                        new.append(key)
-                rows.append((words, np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))))
-            lps = np.r_[lps, model.log10(*places(new))]
-            for words, at in rows:
-                number = dict.fromkeys(words)
-                c = np.array([known.get(w, 0) for w in number], np.float64)
-                number = dict(zip(number, range(len(number)), strict=True))
-                order = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                score, k = in_context(order, None, here=lps[at])
-                out.append((len(words), int(k[c > 0].sum()), float(k @ np.log10(c + 1)), score))
+                rows.append([np.fromiter(map(number.__getitem__, part), np.int64, len(words)) for number, part in ((heads, heads_of(words)), (own, words))])
+            of_heads = np.r_[of_heads, model.log10(*places(heads.new), np.ones(len(heads.new), bool))]
+            of_rests = np.r_[of_rests, model.log10(own.new, None, np.zeros(len(own.new), bool))]
+            c = np.r_[c, np.array([known.get(w, 0) for w in own.new], np.float64)]
+            heads.new, own.new = [], []
+            for h, w in rows:
+                found, order = np.unique(w, return_inverse=True)
+                score, k = in_context(order, None, here=of_heads[h] + of_rests[w])
+                times = c[found]
+                out.append((len(w), int(k[times > 0].sum()), float(k @ np.log10(times + 1)), score))
             n_tokens, n_known, base, score = zip(*out, strict=True) if out else ((), (), (), ())
             sums = [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), *sums], [*keep, "n_tokens", "k0", "b0", "score"])
@@ -350,18 +383,19 @@ def scored(docs: DataFrame, frequent_most: int = 1 << 17, frequent_bytes: int =
     bits over the UTF-8 bytes of the text, at least one. Null and empty texts have the end token only. Rows that are equal
     in doc_id and text have equal results; an empty table gives an empty result. Without training texts all counts are 0.
 
-    What comes of a word depends on it and the four bytes before it, so counts of these keys hold all that tables and weights
-    are learned from, and a task scores equal keys once. For the base, up to frequent_most words of highest count and at most
+    What comes of a word's first four bytes depends on them and the four before, what comes of the others on the word, so
+    counts of heads and of words hold all that tables and weights are learned from, and a task scores equal ones once. For the base, up to frequent_most words of highest count and at most
     frequent_bytes bytes travel to the tasks (some MB, whatever the input); the others meet their counts in a join, where
     none is hot: all have less than 1/frequent_most of the tokens, but for overlong ones. Texts are not moved.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("doc"))
-    keys = written(docs.where("not held_out").select("text").mapInArrow(_counts, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    words = written(keys.groupBy(F.expr("substring(key, 5)").alias("word")).agg(F.sum("c").alias("c")))
+    counts = written(docs.where("not held_out").select("text").mapInArrow(_counts, "head boolean, key binary, c long").groupBy("head", "key").agg(F.sum("c").alias("c")))
+    words = counts.where("not head").select(F.col("key").alias("word"), "c")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_bytes = keys.agg(F.coalesce(F.sum(F.octet_length("key") - 3), F.lit(0))).first()[0]
-    scorer = spark.sparkContext.broadcast(Scorer(fitted(keys, n_bytes, bits_most)))
+    size = F.octet_length("key")
+    n_bytes = counts.agg(F.coalesce(F.sum(F.when(F.col("head"), F.least(size - 3, F.lit(4))).otherwise(F.greatest(size - 3, F.lit(0)))), F.lit(0))).first()[0]
+    scorer = spark.sparkContext.broadcast(Scorer(fitted(counts, n_bytes, bits_most)))
     top = words.where(F.octet_length("word") <= frequent_bytes).orderBy(F.desc("c"), "word").limit(frequent_most)
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): r["c"] for r in top.toLocalIterator()})
 

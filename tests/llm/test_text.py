@@ -255,6 +255,29 @@ def test_lm_reads_texts_in_order(spark):
             assert all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
 
 
+def test_lm_heads_and_rests():
+    """Tables, and scores of whole words, come out the same from heads and rests, of which there are fewer."""
+    found = [[*(w + b"%d" % (i % 3) for w in sentence(__import__("random").Random(i), 60).encode().split()), b"a", b"abc", b"abcd", b"", b"abcde", lm.END] for i in range(40)]
+    keys = [k for words in found for k in lm.in_order(words)]
+    heads = [h for words in found for h in lm.heads_of(words)]
+    rests = [w for words in found for w in words if len(w) > 3]
+    once, named = sorted(set(heads)), sorted(set(rests))
+    assert len(once) < len(set(keys)) and heads[-1] == b"cde "
+    parts = [*once, *(lm.START + w for w in named)]
+    is_head = np.arange(len(parts)) < len(once)
+    times = np.array([*map(heads.count, once), *map(rests.count, named)], np.float64)
+
+    def tables(own, c, which):
+        b = lm.Bits(*(x := lm.places(own))[:1], 16, x[1], which)
+        return [np.bincount(s * 2 + y, c[b.of], 2 << 16) for y, slots in b for s in slots]
+
+    assert all((x == y).all() for x, y in zip(tables(keys, np.ones(len(keys)), None), tables(parts, times, is_head), strict=True))
+    m = lm.Model(16, *(np.random.default_rng(i).integers(0, 9, lm.ORDERS << 16).astype(np.float32) for i in range(2)))
+    lp = dict(zip([*((True, h) for h in once), *((False, w) for w in named)], m.log10(*lm.places(parts), is_head), strict=True))
+    summed = [lp[True, h] + lp.get((False, w), 0) for words in found for h, w in zip(lm.heads_of(words), words, strict=True)]
+    assert np.allclose(summed, m.log10(*lm.places(keys)), rtol=1e-12)
+
+
 def test_lm_prefers_repeats():
     lp = np.array([-2.0, -9.0])
     once, _ = lm.in_context(np.array([0, 1]), lp)
